@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, quality, simhash, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
+    "op5_quality_rules": quality.query,
     "op6_line_dedup": line_dedup.query,
+    "op7_simhash_dedup": simhash.query,
 }
 ORACLE = {
+    "op1_url_filter": url_filter.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
 }
