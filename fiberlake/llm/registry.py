@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality, simhash, url_filter
+from . import bpe, line_dedup, quality, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op2_bpe_automaton": bpe.query,
     "op5_quality_rules": quality.query,
     "op6_line_dedup": line_dedup.query,
     "op7_simhash_dedup": simhash.query,
