@@ -9,24 +9,17 @@ A filter never misses a repeat, so its size changes what is shuffled but never t
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, code_points, id_or_last, power_of_two, record_batches, texts
-
-#: The filter is broadcast, so it never grows beyond this many bits (64 MB); a fuller filter lets more suspects through.
-MAX_FILTER_BITS = 1 << 29
-MIN_FILTER_BITS = 1 << 20
-BITS_PER_DOCUMENT = 256
-CHUNKS = 64
+from .common import checkpointed, code_points, id_or_last, record_batches, table, texts
+from .twice import MAX_FILTER_BITS, filter_bits, seen_twice, suspected
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -43,65 +36,15 @@ def _keys(text: bytes, min_chars: int) -> set[bytes]:
     return found
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Two filter positions a hash."""
-    mask = np.uint64(bits - 1)
-    return np.concatenate([hashes & mask, (hashes >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) & mask])
-
-
-def seen_twice(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The filter of hashes seen at least twice, as packed bits.
-
-    Each task sends the positions its own two filters hold. A position in the first filters of two tasks, or in the
-    second filter of one, belongs to the second filter of the whole corpus.
-    """
-    span = bits // CHUNKS
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: list[int] = []
-        for batch in batches:
-            for text in texts(batch.column(0)):
-                hashes.extend(map(xxhash.xxh3_64_intdigest, _keys(text, min_chars)))
-        once, times = np.unique(np.array(hashes, np.uint64), return_counts=True)
-        ones, twos = (np.unique(_positions(x, bits)) for x in (once, once[times > 1]))
-        edges = np.arange(CHUNKS + 1, dtype=np.uint64) * np.uint64(span)
-        a, b = np.searchsorted(ones, edges), np.searchsorted(twos, edges)
-        rows = (
-            (c, *(zlib.compress((x[i[c] : i[c + 1]] - edges[c]).astype("<u4").tobytes(), 1) for x, i in ((ones, a), (twos, b))))
-            for c in range(CHUNKS)
-            if a[c] < a[c + 1]
-        )
-        yield from record_batches(rows, pa.schema([("chunk", pa.int32()), ("ones", pa.binary()), ("twos", pa.binary())]), 16)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("chunk", pa.int32()), ("bits", pa.binary())])
-        chunk, one, two = None, np.zeros(0, bool), np.zeros(0, bool)
-        for batch in batches:
-            for c, ones, twos in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if c != chunk:
-                    if chunk is not None:
-                        yield from record_batches([(chunk, np.packbits(two).tobytes())], out)
-                    chunk, one, two = c, np.zeros(span, bool), np.zeros(span, bool)
-                here = np.frombuffer(zlib.decompress(ones), "<u4")
-                two[here[one[here]]] = True
-                two[np.frombuffer(zlib.decompress(twos), "<u4")] = True
-                one[here] = True
-        if chunk is not None:
-            yield from record_batches([(chunk, np.packbits(two).tobytes())], out)
-
-    parts = docs.select(F.col("text").cast("binary")).mapInArrow(fill, "chunk int, ones binary, twos binary")
-    merged = parts.repartition(CHUNKS, "chunk").sortWithinPartitions("chunk").mapInArrow(merge, "chunk int, bits binary")
-    whole = np.zeros(bits // 8, np.uint8)
-    for row in merged.collect():  # CHUNKS rows, MAX_FILTER_BITS / 8 bytes at most
-        whole[row.chunk * span // 8 : (row.chunk + 1) * span // 8] = np.frombuffer(row.bits, np.uint8)
-    return whole
-
-
 def repeated_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """(id, drop): the digests of the keys that each document loses. Documents that lose none have no row."""
     spark = docs.sparkSession
-    bits = int(min(max_filter_bits, max(MIN_FILTER_BITS, power_of_two(BITS_PER_DOCUMENT * docs.count()))))
-    twice: Broadcast[np.ndarray] = spark.sparkContext.broadcast(seen_twice(docs, bits, min_chars))
+    bits = filter_bits(docs, max_filter_bits)
+
+    def key_hashes(batch: pa.RecordBatch) -> np.ndarray:
+        return np.array([xxhash.xxh3_64_intdigest(k) for text in texts(batch.column(0)) for k in _keys(text, min_chars)], np.uint64)
+
+    twice = spark.sparkContext.broadcast(seen_twice(docs.select(F.col("text").cast("binary")), bits, key_hashes))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("key", pa.binary())])
@@ -114,8 +57,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int =
                 owners += [owner] * len(found)
             if not keys:
                 continue
-            at = _positions(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), bits).astype(np.int64)
-            hit = (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).reshape(2, -1).all(axis=0)
+            hit = suspected(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), held, bits)
             yield from record_batches(((owners[i], xxhash.xxh3_128_digest(keys[i]), keys[i]) for i in np.flatnonzero(hit)), schema)
 
     found = checkpointed(docs.select(id_or_last().alias("id"), F.col("text").cast("binary")).mapInArrow(suspects, "id long, digest binary, key binary"))
@@ -156,9 +98,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int = MAX
     return docs.withColumn("__id", id_or_last()).join(drop, "__id", "left").mapInArrow(clean, schema)
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

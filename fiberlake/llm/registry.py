@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, quality, simhash, url_filter
+from . import bpe, line_dedup, quality, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op5_quality_rules": quality.query,
     "op6_line_dedup": line_dedup.query,
     "op7_simhash_dedup": simhash.query,
+    "op10_substring_dedup": substring_dedup.query,
 }
 ORACLE = {
     "op1_url_filter": url_filter.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op10_substring_dedup": substring_dedup.ORACLE,
 }
