@@ -86,3 +86,36 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 150: 150, 299: 150, 300: 150}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_dedup_keeps_one_of_each_group(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts, group = [], []
+    for g in range(60):
+        base = [word() for _ in range(rng.randrange(200, 700))]
+        for c in range(g % 4 + 1):
+            v = list(base)
+            for _ in range(c and len(v) // 250 + 1):
+                v[rng.randrange(len(v))] = word()
+            texts.append(" ".join(v))
+            group.append(g)
+    shingles = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    like = [len(shingles[i] & shingles[group.index(g)]) / len(shingles[i] | shingles[group.index(g)]) for i, g in enumerate(group)]
+    assert min(like) > 0.85
+    kept = {r.doc_id for r in simhash.dedup(documents(spark, texts)).collect()}
+    assert kept == {group.index(g) for g in set(group)}
+
+
+def test_wide_links_in_blocks(spark, monkeypatch):
+    """A dense group is linked as a whole when it is dealt out in blocks."""
+    rng = random.Random(2)
+    base = rng.getrandbits(512)
+    fps = {base ^ sum(1 << b for b in rng.sample(range(512), rng.randrange(20))) for _ in range(120)} | {rng.getrandbits(512) for _ in range(40)}
+    rows = [(i, f.to_bytes(64, "little")) for i, f in enumerate(sorted(fps))]
+    want = brute_components({i: int.from_bytes(f, "little") for i, f in rows}, 81)
+    classes = spark.createDataFrame(rows, "id long, fp binary")
+    for block in (4096, 30):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        reach = {r.node: r.component for r in connected_components(simhash.wide_links(classes, 81)).collect()}
+        assert {i: reach.get(i, i) for i, _ in rows} == want
