@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, quality, simhash, substring_dedup, url_filter
+from . import ann, bpe, line_dedup, quality, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality_rules": quality.query,
     "op6_line_dedup": line_dedup.query,
     "op7_simhash_dedup": simhash.query,
+    "op8_learned_partitions": ann.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 ORACLE = {
