@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, line_dedup, quality, simhash, substring_dedup, url_filter
+from . import ann, bpe, line_dedup, mixing, quality, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_bpe_automaton": bpe.query,
+    "op3_temperature_mixing": mixing.query,
     "op5_quality_rules": quality.query,
     "op6_line_dedup": line_dedup.query,
     "op7_simhash_dedup": simhash.query,
