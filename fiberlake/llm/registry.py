@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, line_dedup, mixing, quality, simhash, substring_dedup, url_filter
+from . import ann, bpe, line_dedup, mixing, quality, simhash, substring_dedup, token_shards, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.query,
     "op7_simhash_dedup": simhash.query,
     "op8_learned_partitions": ann.query,
+    "op9_token_shards": token_shards.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 ORACLE = {
