@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import ann, bpe, line_dedup, mixing, quality, simhash, substring_dedup, token_shards, url_filter
 
 QUERIES = {
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_learned_partitions": ann.query,
     "op9_token_shards": token_shards.query,
     "op10_substring_dedup": substring_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op1_url_filter": url_filter.ORACLE,
