@@ -134,7 +134,7 @@ FILES = "f AS (SELECT event_id AS file, ts AS file_ts FROM events WHERE event_id
 
 
 def _at(files: str, source: str) -> str:
-    return f"""att AS (SELECT f.file, s.mmsi, s.lat, s.lon FROM {files} f JOIN {source} s ON abs(epoch_us(s.ts) - epoch_us(f.center)) <= 3600 * 1000000
+    return f"""att AS (SELECT f.file, s.mmsi, s.lat, s.lon FROM {files} f JOIN {source} s ON abs(epoch_us(s.ts) - epoch_us(f.center)) <= 3600000000
   QUALIFY row_number() OVER (PARTITION BY f.file, s.mmsi ORDER BY abs(epoch_us(s.ts) - epoch_us(f.center)), s.ord) = 1)"""
 
 
