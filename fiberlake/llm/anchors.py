@@ -14,7 +14,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15 | 1
 PLACE_BITS = 24
 #: Symbols hashed at once; places within must fit PLACE_BITS.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
