@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,23 +27,50 @@ def neighbor_correlation(image: DataFrame, max_lag: int = 10) -> DataFrame:
     return means.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("rho")) for k in range(1, max_lag + 1)])).alias("x")).select("x.lag", "x.rho")
 
 
-#: Channels of a block of the correlation matrix.
-GRAM_BLOCK = 64
+#: Rows of the matrix of sums that travel as one.
+GRAM_ROWS = 64
 
 
 def correlation_matrix(image: DataFrame, channels: list[int] | None = None) -> DataFrame:
-    """(i, j, rho): Pearson's correlation of all pairs; a constant channel has 0 everywhere, with itself too.
+    """(i, j, rho): Pearson's correlation of all pairs; a constant channel has 0 everywhere, with itself too. The image is
+    dense: each time bin has all channels.
 
-    The z-scores are laid out as vectors of GRAM_BLOCK channels a time bin. Pairs of blocks meet by time bin and add up
-    their products, so the rows that move grow with blocks squared and not with channels squared.
+    Time bins become vectors, and each task adds up their products (a matrix product a batch). Only the tasks' sums are
+    shuffled, GRAM_ROWS rows of the matrix at a time, so neither the pairs of a time bin nor the image travel twice.
     """
     rows = image if channels is None else image.filter(F.col("channel").isin([int(c) for c in channels]))
-    z = zscore(rows, "channel")
-    block = F.floor(F.col("channel") / GRAM_BLOCK)
-    vectors = z.groupBy("t", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("channel", "value"))).alias("v"))
-    left, right = (vectors.select("t", F.col("block").alias(f"b{s}"), F.col("v").alias(s)) for s in ("x", "y"))
-    products = left.join(right, "t").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
-    return products.groupBy(F.col("x.channel").alias("i"), F.col("y.channel").alias("j")).agg(F.avg(F.col("x.value") * F.col("y.value")).alias("rho"))
+    stats = rows.groupBy("channel").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    names = [(r.channel, r.m, r.s) for r in stats.orderBy("channel").collect()]  # a row a channel
+    if not names:
+        return rows.sparkSession.createDataFrame([], "i int, j int, rho double")
+    ids = np.array([c for c, _, _ in names])
+    mean, scale = np.array([m for _, m, _ in names]), np.array([s or 1.0 for _, _, s in names])
+    vectors = rows.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "value"))), lambda x: x["value"]).alias("v"))
+    parts = pa.schema([("block", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros((len(ids), len(ids)))
+        for batch in batches:
+            z = (batch.column(0).flatten().to_numpy().reshape(-1, len(ids)) - mean) / scale
+            total += z.T @ z
+            n += len(z)
+        if n:
+            blocks = range(0, len(ids), GRAM_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array([b // GRAM_ROWS for b in blocks], pa.int32()), pa.array([n] * len(blocks)), pa.array([total[b : b + GRAM_ROWS].tobytes() for b in blocks], pa.binary())], schema=parts)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for block, n, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                entry = held.setdefault(block, [0, 0.0])
+                entry[0] += n
+                entry[1] = entry[1] + np.frombuffer(sums).reshape(-1, len(ids))
+        for block, (n, sums) in held.items():
+            i = np.repeat(ids[block * GRAM_ROWS : (block + 1) * GRAM_ROWS], len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(np.tile(ids, len(sums)), pa.int32()), pa.array((sums / n).ravel())], names=["i", "j", "rho"])
+
+    sums = vectors.select("v").mapInArrow(products, "block int, n long, sums binary")
+    return sums.repartition("block").mapInArrow(added, "i int, j int, rho double")
 
 
 def pair_correlation(image: DataFrame, i: int, j: int) -> DataFrame:

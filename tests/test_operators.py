@@ -330,3 +330,15 @@ def test_augmentations(spark):
     assert np.allclose(gain, gain[0]) and gain.min() >= 0.8 and gain.max() <= 1.2
     assert (matrix(au.time_mask(df, 100, 0)) == 0).all() and np.allclose(matrix(au.random_augment(df, 64.0, 0.0, 1)), x)
     assert not np.allclose(matrix(au.random_augment(df, 64.0, 1e-9, 1)), x) and np.allclose(matrix(au.mixup(df, 0.0, 1)), x)
+
+
+def test_quantiles_of_large_groups(spark):
+    from fiberlake.operators import quantiles as qt
+
+    rng = np.random.default_rng(3)
+    rows = [(g, v) for g, x in enumerate([rng.standard_normal(3000), np.exp(rng.normal(0, 8, 2000)), np.repeat([1.0, 2.0], 500), np.array([5.0])]) for v in x.tolist()]
+    df = spark.createDataFrame(rows + [(9, None)], "g int, value double").repartition(3)
+    probs = [0.0, 0.01, 0.5, 0.999, 1.0]
+    got = {r.g: r.q for r in qt.refine(df, ["g"], probs).collect()}
+    want = {r.g: r.q for r in qt.percentiles(df.filter("value is not null"), ["g"], probs).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[g], want[g], rtol=1e-12) for g in want)
