@@ -1,31 +1,38 @@
 """Training-order token shards.
 
-The documents' token ids, an end token after each, are one stream in the order of doc_id, cut into sequences of a fixed
-length. A keyed Feistel permutation with cycle-walking gives sequence number s its global slot, so the training order is
-a function of the key and the number of sequences and needs no sort of random numbers. Shard k holds the slots
+The documents' token ids, an end token after each, are one stream, cut into sequences of a fixed length. A keyed Feistel
+permutation with cycle-walking gives sequence number s its global slot, so the training order is a function of the key
+and the number of sequences and needs no sort of random numbers. Shard k holds the slots
 [k * per_shard, (k + 1) * per_shard) as records of a fixed stride: record r of shard k starts at byte r * stride. A
 reader takes up training at any slot by one seek.
 
 A record is `length` little-endian ids and the MARK. Shards are written by Spark's own writer, one folder a shard with
 one file, so a lost executor or a second attempt leaves no half shard and any file system that Spark knows will do.
+
+Texts are encoded once, into a staged table whose rows know their place in their task's part of the stream; the parts'
+totals, one number a task, place the parts. Only pieces of sequences are shuffled, compressed, to their shards.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Shared, default_path
-from .common import id_or_last, partitions, record_batches, shared_folder, stored, table, texts
+from .bpe import Tokenizer, default_path
+from .common import partitions, record_batches, shared_folder, stored, table, texts
 
 #: Ends each record, as Spark's text writer ends each row.
 MARK = "\n"
@@ -91,83 +98,103 @@ class Layout:
         return np.dtype(f"<u{self.width}")
 
 
-def _encoded(docs: DataFrame, shared: Shared, end_id: int) -> DataFrame:
-    """(uid, id, text_key, n, ids): ids of a row and the end token, as bytes; uid is the row's own."""
+class ByteBpe:
+    """A byte-level BPE vocabulary of ranks (one `base64 rank` a line), with the first free id as the end token."""
+
+    def __init__(self, lines: str):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line)}
+        self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.end_id = max(ranks.values()) + 1
+        self.dtype = np.dtype("<u2" if self.end_id < 65536 else "<u4")
+
+    def encode_bytes(self, text: str) -> bytes:
+        return np.array(self.coder.encode_ordinary(text), self.dtype).tobytes()
+
+
+class WordBpe(Tokenizer):
+    """The tokenization automaton of bpe.py."""
+
+    def __init__(self, spec: str):
+        super().__init__(json.loads(spec))
+        self.end_id = self.special["<|endoftext|>"]
+
+
+_made: dict[str, ByteBpe | WordBpe] = {}
+
+
+class Vocabulary:
+    """A vocabulary file for executors: its text is broadcast (a few MB), each Python worker compiles it once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        with open(path, encoding="utf-8") as file:
+            text = file.read()
+        self.kind = WordBpe if path.endswith(".json") else ByteBpe
+        self.key = hashlib.sha256(text.encode()).hexdigest()
+        self.text = spark.sparkContext.broadcast(text)
+
+    def get(self) -> ByteBpe | WordBpe:
+        if self.key not in _made:
+            _made[self.key] = self.kind(self.text.value)
+        return _made[self.key]
+
+
+def _staged(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(task, at, doc_id, ids): ids of a row and the end token, and their place in the task's part of the stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.get()
-        end = np.array([end_id], t.dtype).tobytes()
-        uid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        v = vocabulary.get()
+        end, at = np.array([v.end_id], v.dtype).tobytes(), 0
+        task = TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [b"".join([p[0] for p in t.pieces(x.decode("utf-8", "replace"))]) + end for x in texts(part.column(2))]
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // t.dtype.itemsize
-                yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(len(ids))), part.column(0), part.column(1), pa.array(n), pa.array(ids, pa.binary())], names=["uid", "id", "text_key", "n", "ids"])
-                uid += len(ids)
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                ids = [v.encode_bytes(x.decode("utf-8", "replace")) + end for x in texts(part.column(1))]
+                n = np.fromiter(map(len, ids), np.int64, len(ids)) // v.dtype.itemsize
+                places = at + np.cumsum(n) - n
+                at += int(n.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([task] * len(ids), pa.int32()), pa.array(places), pa.array(n), part.column(0), pa.array(ids, pa.binary())], names=["task", "at", "n", "doc_id", "ids"])
 
-    keyed = docs.select(id_or_last().alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.col("text").cast("binary"))
-    return keyed.mapInArrow(run, "uid long, id long, text_key long, n long, ids binary")
+    schema = T.StructType([T.StructField("task", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()), docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
-def write_shards(docs: DataFrame, path: str, length: int = 1024, per_shard: int = 8192, key: int = 0, vocabulary: str | None = None, end_token: str = "<|endoftext|>") -> Layout:
-    """Write the shards of docs under path and return their layout, which is also written to path/layout as JSON.
+def write_shards(docs: DataFrame, path: str, length: int = 1024, per_shard: int = 8192, key: int = 0, vocabulary: str | None = None) -> Layout:
+    """Write the shards of docs under path/shards, the layout as JSON under path/layout, and under path/documents where
+    each document stands in the stream (doc_id, first, n_tokens); return the layout.
 
-    Order within the stream: doc_id, then text; rows without an id come last, repeated rows each count. Null and empty
-    texts are an end token alone. The last sequence is filled up with end tokens. An empty table writes no shard.
+    The stream has the documents in the order of the scan. Rows without an id take part, repeated rows each count, null
+    and empty texts are an end token alone. The last sequence is filled up with end tokens. An empty table writes no
+    shard.
     """
     spark = docs.sparkSession
-    shared = Shared(spark, vocabulary or default_path())
-    tokenizer = shared.get()
-    end_id, dtype = tokenizer.special.get(end_token, 0), tokenizer.dtype
-    rows = stored(_encoded(docs, shared, end_id))
-    # ranges of ids with about as many rows each; the edges only balance tasks
-    n = max(1, partitions(spark))
-    edges = sorted(set(rows.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    edge_values = np.array(edges, float)
-
-    def bucket_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bucket = np.searchsorted(edge_values, batch.column(1).to_numpy().astype(float), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", *batch.schema.names])
-
-    lengths = stored(rows.select("uid", "id", "text_key", "n").mapInArrow(bucket_of, "bucket int, uid long, id long, text_key long, n long"))
-    totals = {r.bucket: r.n for r in lengths.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # a row a range
+    shared = Vocabulary(spark, vocabulary or default_path())
+    end_id, dtype = shared.get().end_id, shared.get().dtype
+    rows = stored(_staged(docs, shared))
     begins, tokens = {}, 0
-    for b in sorted(totals):
-        begins[b], tokens = tokens, tokens + totals[b]
+    for r in rows.groupBy("task").agg(F.sum("n").alias("n")).orderBy("task").collect():  # a row a task
+        begins[r.task], tokens = tokens, tokens + r.n
+    base = spark.sparkContext.broadcast(begins)
     layout = Layout(tokens, -(-tokens // length), length, per_shard, dtype.itemsize, end_id, key)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(uid, at): a running sum within each range, over rows sorted by range, id and text."""
-        bucket, at = None, 0
-        for batch in batches:
-            out = np.empty(batch.num_rows, np.int64)
-            for i, (b, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                if b != bucket:
-                    bucket, at = b, begins[b]
-                out[i] = at
-                at += size
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out)], names=["uid", "at"])
-
-    order = ["bucket", "id", "text_key", "uid"]
-    places = lengths.repartition(n, "bucket").sortWithinPartitions(*order).mapInArrow(placed, "uid long, at long")
-    permutation = Feistel(max(1, layout.sequences), key)
-    width = dtype.itemsize
+    permutation, width = Feistel(max(1, layout.sequences), key), dtype.itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("place", pa.int32()), ("ids", pa.binary())])
+        press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            data = batch.column(1).to_pylist()
-            first, last = at // length, (at + np.array([len(d) // width for d in data], np.int64) - 1) // length
-            counts = last - first + 1
+            at = np.array([base.value[t] for t in batch.column(0).to_pylist()], np.int64) + batch.column(1).to_numpy()
+            n, data = batch.column(2).to_numpy(), batch.column(3).to_pylist()
+            first = at // length
+            counts = (at + n - 1) // length - first + 1
             doc = np.repeat(np.arange(len(data)), counts)
             sequence = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-            slot = permutation.slot(sequence)
             found = (
-                (s // per_shard, s, max(0, begin), data[d][max(0, -begin) * width : (length - begin) * width])
-                for d, s, begin in zip(doc.tolist(), slot.tolist(), (at[doc] - sequence * length).tolist(), strict=True)
+                (s // per_shard, s, max(0, begin), press(data[d][max(0, -begin) * width : (length - begin) * width]))
+                for d, s, begin in zip(doc.tolist(), permutation.slot(sequence).tolist(), (at[doc] - sequence * length).tolist(), strict=True)
             )
             yield from record_batches(found, schema, 2048)
 
@@ -175,6 +202,7 @@ def write_shards(docs: DataFrame, path: str, length: int = 1024, per_shard: int
         schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("record", pa.binary())])
         now, held = None, []
         filler = np.array([end_id] * length, dtype).tobytes()
+        open_ = zstandard.ZstdDecompressor().decompress
 
         def record() -> tuple[int, int, bytes]:
             data = b"".join(held)
@@ -187,23 +215,27 @@ def write_shards(docs: DataFrame, path: str, length: int = 1024, per_shard: int
                     if held:
                         out.append(record())
                     now, held = (shard, slot), []
-                held.append(ids)
+                held.append(open_(ids))
             yield from record_batches(out, schema, 1024)
         if held:
             yield from record_batches([record()], schema)
 
     if layout.sequences:
-        pieces = rows.select("uid", "ids").join(places, "uid").select("at", "ids").mapInArrow(cut, "shard long, slot long, place int, ids binary")
-        dealt = pieces.repartition(min(layout.shards, 4 * n), "shard").sortWithinPartitions("shard", "slot", "place")
+        pieces = rows.select("task", "at", "n", "ids").mapInArrow(cut, "shard long, slot long, place int, ids binary")
+        dealt = pieces.repartition(max(1, min(layout.shards, 4 * partitions(spark))), "shard").sortWithinPartitions("shard", "slot", "place")
         records = dealt.mapInArrow(joined, "shard long, slot long, record binary").sortWithinPartitions("shard", "slot")
         records.select("shard", F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", MARK).partitionBy("shard").text(f"{path}/shards")
-    spark.createDataFrame([asdict(layout)], "tokens long, sequences long, length long, per_shard long, width long, end_id long, key long").coalesce(1).write.mode("overwrite").json(f"{path}/layout")
+    offsets = spark.createDataFrame(list(begins.items()) or [(0, 0)], "task int, base long")
+    rows.join(offsets, "task").select("doc_id", (F.col("base") + F.col("at")).alias("first"), F.col("n").alias("n_tokens")).write.mode("overwrite").parquet(f"{path}/documents")
+    spark.createDataFrame([asdict(layout)], LAYOUT).coalesce(1).write.mode("overwrite").json(f"{path}/layout")
     return layout
 
 
+LAYOUT = "tokens long, sequences long, length long, per_shard long, width long, end_id long, key long"
+
+
 def read_layout(spark: SparkSession, path: str) -> Layout:
-    schema = "tokens long, sequences long, length long, per_shard long, width long, end_id long, key long"
-    return Layout(**spark.read.schema(schema).json(f"{path}/layout").first().asDict())
+    return Layout(**spark.read.schema(LAYOUT).json(f"{path}/layout").first().asDict())
 
 
 def read_shards(spark: SparkSession, path: str, layout: Layout | None = None, first_slot: int = 0) -> DataFrame:
@@ -229,21 +261,19 @@ def read_shards(spark: SparkSession, path: str, layout: Layout | None = None, fi
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records that were written, read again: slot, shard, sequence and a digest of the decimal ids."""
-    import hashlib
-    import uuid
+    """The records that were written, read again: slot, shard, sequence and a digest of the ids as they are stored."""
+    import public_tokenizers
 
     path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    layout = write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path, key=2024)
+    layout = write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path, key=2024, vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    permutation, dtype = Feistel(max(1, layout.sequences), layout.key), layout.dtype
-    schema = T.StructType([T.StructField(n, T.StringType() if "sha" in n and n != "shard" else T.LongType()) for n in ("slot", "shard", "sequence", "ids_sha256")])
+    permutation = Feistel(max(1, layout.sequences), layout.key)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = batch.column(1).to_numpy()
-            digests = [hashlib.sha256(" ".join(map(str, np.frombuffer(x, dtype).tolist())).encode()).hexdigest() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(permutation.sequence(slots)), pa.array(digests, pa.string())], names=schema.names)
+            digests = [hashlib.sha256(x).hexdigest() for x in texts(batch.column(2))]
+            sequence = permutation.sequence(batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(sequence), pa.array(digests, pa.string())], names=["slot", "shard", "sequence", "ids_sha256"])
 
-    return read_shards(spark, path, layout).mapInArrow(digest, schema)
+    return read_shards(spark, path, layout).mapInArrow(digest, "slot long, shard long, sequence long, ids_sha256 string")

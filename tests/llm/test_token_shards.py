@@ -1,7 +1,10 @@
+import base64
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from fiberlake.llm import bpe
@@ -20,18 +23,27 @@ def test_feistel_is_a_permutation(n):
         assert (slots == np.arange(n)).mean() < 0.1 and ts.Feistel(n, 6).slot(np.arange(n)).tolist() != slots.tolist()
 
 
-def test_round_trip_and_resume(spark, tmp_path):
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.tiktoken"])
+def test_round_trip_and_resume(spark, tmp_path, vocabulary):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "train", "tokenization", "été", "7!"]) for _ in range(rng.randrange(60))) for _ in range(300)]
     texts += [None, "", "long " * 5000, texts[0]]
-    ids = rng.sample(range(10_000), len(texts))
-    docs = documents(spark, texts, ids=ids).withColumn("at", F.lit("clash")).withColumn("n", F.lit(1))
+    docs = documents(spark, texts).withColumn("at", F.lit("clash")).withColumn("n", F.lit(1))
     path = str(tmp_path / "out")
-    layout = ts.write_shards(docs, path, length=16, per_shard=50, key=9)
-    t = bpe.Tokenizer.load(bpe.default_path())
+    layout = ts.write_shards(docs, path, length=16, per_shard=50, key=9, vocabulary=public_tokenizers.path(vocabulary))
+    places = sorted((r.first, r.n_tokens, r.doc_id) for r in spark.read.parquet(f"{path}/documents").collect())
+    assert sorted(i for _, _, i in places) == list(range(len(texts)))
+    if vocabulary.endswith("json"):
+        encode = bpe.Tokenizer.load(bpe.default_path()).encode
+    else:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(vocabulary), "rb"))}
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encode = lambda x: np.array(library.encode_ordinary(x), int)
     stream = []
-    for _, text in sorted(zip(ids, texts, strict=True)):
-        stream += [*t.encode(text or "").tolist(), layout.end_id]
+    for first, n, i in places:
+        ids = [*encode(texts[i] or "").tolist(), layout.end_id]
+        assert (first, n) == (len(stream), len(ids))
+        stream += ids
     assert layout.tokens == len(stream) and layout.sequences == -(-len(stream) // 16)
     stream += [layout.end_id] * (-len(stream) % 16)
     want = [stream[i : i + 16] for i in range(0, len(stream), 16)]
@@ -41,7 +53,7 @@ def test_round_trip_and_resume(spark, tmp_path):
     later = sorted((r.slot, r.shard) for r in ts.read_shards(spark, path, first_slot=777).collect())
     assert later == [(s, s // 50) for s in range(777, layout.sequences)]
     # a plain reader seeks by stride
-    for slot in (0, 49, 50, 1234, layout.sequences - 1):
+    for slot in (0, 49, 50, 777, layout.sequences - 1):
         (file,) = (tmp_path / "out/shards" / f"shard={slot // 50}").glob("part-*")
         with file.open("rb") as f:
             f.seek(slot % 50 * layout.stride)
