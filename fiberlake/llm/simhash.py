@@ -175,10 +175,11 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def bits_for(similarity: float, words: int = WORDS) -> int:
-    """The Hamming distance of wide fingerprints at a Jaccard similarity, with half a standard deviation for its spread."""
+    """The Hamming distance of wide fingerprints at a Jaccard similarity, with one and a half standard deviations for its
+    spread, so that most pairs at just this similarity are linked."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * words
-    return int(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
 
 
 def wide_links(classes: DataFrame, most: int, words: int = WORDS) -> DataFrame:
