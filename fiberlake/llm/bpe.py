@@ -9,8 +9,8 @@ sequences that BPE makes. It starts with one state and an arc for each base symb
 
 So a state belongs to the token read last; what it has lost are the cuts of the tokens down the right edge of its merge
 tree, each while that token was there, and an arc w exists where the arc of its left part did when w was made. The
-table holds the cut of each gadget (u, v at rank r) and, for each token, the edges with the ranks until which they were
-there. `follows` reads an arc from these tables; listing all arcs would take the square of the vocabulary.
+tables hold the cut of each gadget (u, v at rank r) and the parts of each token; a part was there until the rank of what
+it became part of. `follows` reads an arc from these tables; listing all arcs would take the square of the vocabulary.
 
 Each string has one path. A word is encoded by walking the symbol trie of arc labels for the longest label at each
 place and stepping to shorter ones where the state has no such arc; a place once left is never entered again, so the
@@ -34,7 +34,11 @@ from pyspark.sql import types as T
 from .common import table, texts
 
 #: Distinct words that a Python worker keeps encoded; it starts anew when they are more.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
+#: Arcs that it keeps as read from the tables.
+CACHE_ARCS = 100_000
+#: Documents whose ids are held at once.
+ROWS = 512
 NEVER = 1 << 30
 
 
@@ -51,9 +55,11 @@ class Automaton:
     def __init__(self, base: int, merges: list[tuple[int, int]]):
         size = base + len(merges)
         self.cut: dict[int, int] = {}
-        #: (token << 20, rank until which it is there) down the right edge, and (token, rank) down the left edge
-        self.right: list[tuple[tuple[int, int], ...]] = [((t << 20, NEVER),) for t in range(base)]
-        self.left: list[tuple[tuple[int, int], ...]] = [((t, NEVER),) for t in range(base)]
+        self.arcs: dict[int, bool] = {}
+        #: the parts of each merged token, and -1 for base symbols
+        self.first = [-1] * base + [u for u, _ in merges]
+        self.second = [-1] * base + [v for _, v in merges]
+        self.base = base
         self.width = [1] * base
         live, pairs = [True] * base, set()
         for r, (u, v) in enumerate(merges):
@@ -64,8 +70,6 @@ class Automaton:
             live.append(live[u] and live[v] and self.follows(u, v))
             if live[w]:
                 self.cut[u << 20 | v] = r
-            self.right.append(((w << 20, NEVER), (v << 20, r), *self.right[v][1:]))
-            self.left.append(((w, NEVER), (u, r), *self.left[u][1:]))
             self.width.append(self.width[u] + self.width[v])
         self.step: dict[int, int] = {}
         self.label = [-1]  # trie node to token
@@ -73,7 +77,6 @@ class Automaton:
         spelling: list[tuple[int, ...]] = []
         for t in range(size):
             spelling.append((t,) if t < base else spelling[merges[t - base][0]] + spelling[merges[t - base][1]])
-        self.symbols = base
         for t in sorted((t for t in range(size) if live[t]), key=self.width.__getitem__):
             node, last = 0, -1
             for s in spelling[t]:
@@ -90,56 +93,70 @@ class Automaton:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the state of a has an arc b. Of two equal merges the one further left comes first, hence < and <=."""
-        cut = self.cut
-        for x, until_x in self.right[a]:
-            for y, until_y in self.left[b]:
-                r = cut.get(x | y)
+        get, first, second, base = self.cut.get, self.first, self.second, self.base
+        x, until_x = a, NEVER
+        while x >= 0:
+            y, until_y = b, NEVER
+            while y >= 0:
+                r = get(x << 20 | y)
                 if r is not None and r < until_x and r <= until_y:
                     return False
+                until_y, y = y - base, first[y]
+            until_x, x = x - base, second[x]
         return True
 
     def path(self, word: list[int]) -> list[int]:
         """The tokens of a word of base symbols."""
         n, at, out, dead = len(word), 0, [], set()
-        step, label, width, base = self.step, self.label, self.width, self.symbols
-        b = -1
+        get, label, width, shorter, base, arcs = self.step.get, self.label, self.width, self.shorter, self.base, self.arcs
+        a, b = -1, -1
         fresh = True
         while at < n:
             if fresh:
-                node, b = 0, -1
-                for s in word[at:]:
-                    node = step.get(node * base + s)
+                node, b, i = 0, -1, at
+                while i < n:
+                    node = get(node * base + word[i])
                     if node is None:
                         break
                     if label[node] >= 0:
                         b = label[node]
-            while b >= 0 and (at + width[b] in dead or (out and not self.follows(out[-1], b))):
-                b = self.shorter[b]
+                    i += 1
+            while b >= 0:
+                if at + width[b] not in dead:
+                    if a < 0:
+                        break
+                    arc = arcs.get(a << 20 | b)
+                    if arc is None:
+                        if len(arcs) >= CACHE_ARCS:
+                            arcs.clear()
+                        arc = arcs[a << 20 | b] = self.follows(a, b)
+                    if arc:
+                        break
+                b = shorter[b]
             if b < 0:
                 dead.add(at)
                 b = out.pop()
                 at -= width[b]
-                b, fresh = self.shorter[b], False
+                b, fresh = shorter[b], False
             else:
                 out.append(b)
                 at += width[b]
                 fresh = True
+            a = out[-1] if out else -1
         return out
 
 
-class _Words(dict):
-    """Word to (ids as bytes, ids as decimal text, labels as text)."""
+class _Kept(dict):
+    """Word to what `make` gives for it."""
 
-    def __init__(self, tokenizer: Tokenizer):
+    def __init__(self, make):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.make = make
 
-    def __missing__(self, word: str) -> tuple[bytes, str, str]:
+    def __missing__(self, word: str):
         if len(self) >= CACHE_WORDS:
             self.clear()
-        t = self.tokenizer
-        ids = t.encode_word(word)
-        value = (np.array(ids, t.dtype).tobytes(), " ".join(map(str, ids)), " ".join([t.tokens[i] for i in ids]))
+        value = self.make(word)
         if len(word) <= 64:
             self[word] = value
         return value
@@ -175,7 +192,10 @@ class Tokenizer:
         self.pattern = regex.compile(pre[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.dtype = np.dtype("<u2" if len(self.tokens) <= 65536 else "<u4")
-        self.words = _Words(self)
+        self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(len(self.tokens))]
+        self.decimal = list(map(str, range(len(self.tokens))))
+        #: by word: its ids as bytes; its ids as decimal text, its labels as text and their number
+        self.words, self.spelled = _Kept(self._pack), _Kept(self._spell)
 
     @classmethod
     def load(cls, path: str) -> Tokenizer:
@@ -188,6 +208,13 @@ class Tokenizer:
         data = word.encode("utf-8", "surrogatepass")
         return self.automaton.path([self.first[b] for b in data[:-1]] + [self.last[data[-1]]])
 
+    def _pack(self, word: str) -> bytes:
+        return b"".join([self.packed[i] for i in self.encode_word(word)])
+
+    def _spell(self, word: str) -> tuple[str, str, int]:
+        ids = self.encode_word(word)
+        return " ".join([self.decimal[i] for i in ids]), " ".join([self.tokens[i] for i in ids]), len(ids)
+
     def split(self, text: str) -> list[str]:
         """The words of a text; special tokens are words as they stand."""
         if self.splitter is not None and "<" in text:
@@ -203,12 +230,17 @@ class Tokenizer:
                 text = text.replace("Σ", "σ")
         return self.pattern.findall(text.lower())
 
-    def pieces(self, text: str) -> list[tuple[bytes, str, str]]:
+    def encode_bytes(self, text: str) -> bytes:
         words = self.words
-        return [words[w] for w in self.split(text)]
+        return b"".join([words[w] for w in self.split(text)])
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([p[0] for p in self.pieces(text)]), self.dtype)
+        return np.frombuffer(self.encode_bytes(text), self.dtype)
+
+    def spell(self, text: str) -> list[tuple[str, str, int]]:
+        """For each word: ids as decimal text, labels as text, number of ids."""
+        spelled = self.spelled
+        return [spelled[w] for w in self.split(text)]
 
     def decode(self, ids) -> str:
         """The labels of the arcs, joined by one space, as a vocabulary without a decoder has it."""
@@ -248,11 +280,13 @@ def encode(docs: DataFrame, path: str | None = None, column: str = "input_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.get()
-        for batch in batches:
-            ids = [t.encode(x.decode("utf-8", "replace")).astype(np.int32) for x in texts(batch.column("text"))]
-            ends = np.cumsum([0, *map(len, ids)])
-            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                ids = [t.encode(x.decode("utf-8", "replace")) for x in texts(batch.column("text"))]
+                ends = np.cumsum([0, *map(len, ids)])
+                values = pa.array(np.concatenate(ids).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -283,10 +317,10 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             counts, ids, labels = [], [], []
             for text in texts(batch.column(1)):
-                pieces = t.pieces(text.decode("utf-8", "replace"))
-                counts.append(sum([len(p[0]) for p in pieces]) // t.dtype.itemsize)
-                ids.append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
-                labels.append(hashlib.sha256(" ".join([p[2] for p in pieces]).encode()).hexdigest())
+                words = t.spell(text.decode("utf-8", "replace"))
+                counts.append(sum([w[2] for w in words]))
+                ids.append(hashlib.sha256(" ".join([w[0] for w in words]).encode()).hexdigest())
+                labels.append(hashlib.sha256(" ".join([w[1] for w in words]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(labels, pa.string())], names=schema.names)
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema)
