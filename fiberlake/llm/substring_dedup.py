@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from .anchors import runs
 from .common import partitions, record_batches, row_key, stored, table, texts
 from .twice import MAX_FILTER_BITS, filter_bits, seen_twice, suspected
+from .words import laid
 
 WINDOW = 35
 GRAM = 10
@@ -33,46 +34,15 @@ GRAM = 10
 GROUP = 20_000
 #: Seeds of up to so many classes are extended a pair at a time.
 FEW = 8
-#: Words laid end to end for hashing.
-BATCH_WORDS = 1 << 20
-CACHE_WORDS = 400_000
-
-
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        code = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = code
-        return code
-
-
-_codes = _Codes()
-
-
-def _laid(batch_texts: Iterator[bytes]) -> Iterator[tuple[list[int], list[list[bytes]], np.ndarray, np.ndarray]]:
-    """(row numbers, words, codes end to end, ends) for groups of texts of about BATCH_WORDS words."""
-    rows, words, codes, ends, n = [], [], [], [], 0
-    for row, text in enumerate(batch_texts):
-        found = text.split()
-        rows.append(row)
-        words.append(found)
-        codes.append(np.fromiter(map(_codes.__getitem__, found), np.uint64, len(found)))
-        n += len(found)
-        ends.append(n)
-        if n >= BATCH_WORDS:
-            yield rows, words, np.concatenate(codes), np.array(ends)
-            rows, words, codes, ends, n = [], [], [], [], 0
-    if rows:
-        yield rows, words, np.concatenate(codes), np.array(ends)
+#: Digests of runs that a task remembers having sent.
+SENT = 100_000
 
 
 def _seeds(window: int, gram: int):
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
         found = [np.zeros(0, np.uint64)]
-        for _, _, codes, ends in _laid(texts(batch.column(0))):
-            found += [h for _, _, _, h in runs(codes, ends, window, gram)]
+        for lay in laid(texts(batch.column(0))):
+            found += [h for _, _, _, h in runs(lay.codes, lay.ends, window, gram)]
         return np.concatenate(found)
 
     return hashes
@@ -199,22 +169,20 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_
         held = twice.value
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for rows, words, codes, ends in _laid(texts(batch.column(2))):
-                starts = np.concatenate([[0], ends[:-1]])
-                for first, last, place, seed in runs(codes, ends, window, gram):
+            for lay in laid(texts(batch.column(2))):
+                begins = np.concatenate([[0], lay.ends[:-1]])
+                for first, last, place, seed in runs(lay.codes, lay.ends, window, gram):
                     hit = np.flatnonzero(suspected(seed, held, bits))
-                    text = np.searchsorted(ends, first[hit], side="right")
+                    text = np.searchsorted(lay.ends, first[hit], side="right")
                     out = []
-                    for t, a, b, p, s in zip(text.tolist(), (first[hit] - starts[text]).tolist(), (last[hit] - starts[text]).tolist(), (place[hit] - starts[text]).tolist(), seed[hit].view(np.int64).tolist(), strict=True):
-                        data = b" ".join(words[t][a : b + window])
-                        digest = xxhash.xxh3_128_digest(b"%d %d " % (p - a, b - a) + data)
-                        if digest in sent:
-                            data = None
-                        else:
-                            if len(sent) > 200_000:
+                    for t, a, b, p, at, s in zip(text.tolist(), first[hit].tolist(), last[hit].tolist(), place[hit].tolist(), (first[hit] - begins[text]).tolist(), seed[hit].view(np.int64).tolist(), strict=True):
+                        data, digest = None, xxhash.xxh3_128_digest(b"%d %d " % (p - a, b - a) + lay.codes[a : b + window].tobytes())
+                        if digest not in sent:
+                            if len(sent) >= SENT:
                                 sent.clear()
                             sent.add(digest)
-                        out.append((ids[rows[t]], keys[rows[t]], a, s, digest, data, p - a, b - a + 1))
+                            data = lay.words(a, b + window)
+                        out.append((ids[lay.rows[t]], keys[lay.rows[t]], at, s, digest, data, p - a, b - a + 1))
                     yield from record_batches(out, schema, 16384)
 
     met = stored(keyed.mapInArrow(meet, "id long, key long, start int, seed long, digest binary, run binary, place int, windows int"))
