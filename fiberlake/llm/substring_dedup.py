@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import runs
-from .common import partitions, record_batches, row_key, stored, table, texts
+from .common import checkpointed, partitions, record_batches, row_key, stored, table, texts
 from .twice import MAX_FILTER_BITS, filter_bits, seen_twice, suspected
 from .words import laid
 
@@ -187,11 +187,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_
 
     met = stored(keyed.mapInArrow(meet, "id long, key long, start int, seed long, digest binary, run binary, place int, windows int"))
     classes = met.groupBy("digest").agg(F.count(F.lit(1)).alias("count"), *(F.first(c, ignorenulls=True).alias(c) for c in ("run", "seed", "place", "windows")))
-    classes = stored(classes.select("seed", "digest", "run", "place", "windows", "count"))
-    common = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("seed", F.lit(True).alias("large"))
-    marked = classes.join(common, "seed", "left")
-    small = marked.filter("large is null").drop("large").repartition(partitions(spark), "seed").sortWithinPartitions("seed")
-    masks = small.mapInArrow(_masks(window, gram), "digest binary, mask long").unionByName(_by_window(marked.filter("large"), window))
+    classes = classes.select("seed", "digest", "run", "place", "windows", "count")
+    common = met.select("seed", "digest").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP)
+    common = checkpointed(common.select("seed"))  # one in GROUP classes at most
+    large = not common.isEmpty()
+    small = classes.join(common, "seed", "left_anti") if large else classes
+    masks = small.repartition(partitions(spark), "seed").sortWithinPartitions("seed").mapInArrow(_masks(window, gram), "digest binary, mask long")
+    if large:
+        masks = masks.unionByName(_by_window(classes.join(common, "seed", "left_semi"), window))
     found = met.select("id", "key", "start", "digest").join(masks, "digest").groupBy("id", "key").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
     return found.select(F.col("id").alias("__id"), F.col("key").alias("__text_key"), F.col("found").alias("__found"))
 
