@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from .anchors import runs
 from .common import checkpointed, partitions, record_batches, row_key, stored, table, texts
+from .seeds import classes_of, gathered
 from .twice import MAX_FILTER_BITS, filter_bits, seen_twice, suspected
 from .words import laid
 
@@ -106,34 +107,22 @@ def extend_all(classes: list[tuple[list[bytes], int, int, int]], window: int, gr
 
 
 def _masks(window: int, gram: int):
-    """Rows (seed, digest, run, place, windows, count), sorted by seed, to (digest, mask)."""
+    """Rows of Classes, sorted by seed, to (digest, mask)."""
     schema = pa.schema([("digest", pa.binary()), ("mask", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed, digests, classes = None, [], []
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
+        for _, held in gathered(batches, "seed"):
+            if len(held) > 1:
+                classes = [(run.split(), place, windows, count) for run, place, windows, count in held.values()]
+                masks = (extend_pairs if len(classes) <= FEW else extend_all)(classes, window, gram)
+                yield from ((d, m) for d, m in zip(held, masks, strict=True) if m)
 
-        def close() -> list[tuple[bytes, int]]:
-            if not classes or (len(classes) == 1 and classes[0][3] < 2):
-                return []
-            masks = (extend_pairs if len(classes) <= FEW else extend_all)(classes, window, gram)
-            return [(d, m) for d, m in zip(digests, masks, strict=True) if m]
-
-        for batch in batches:
-            found: list[tuple[bytes, int]] = []
-            for s, digest, words, place, windows, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != seed:
-                    found += close()
-                    seed, digests, classes = s, [], []
-                digests.append(digest)
-                classes.append((words.split(), place, windows, count))
-            yield from record_batches(found, schema, 65536)
-        yield from record_batches(close(), schema)
-
-    return run
+    return lambda batches: record_batches(found(batches), schema, 16384)
 
 
 def _by_window(large: DataFrame, window: int) -> DataFrame:
-    """(digest, mask) for the classes of very common seeds, each window met by its own digest."""
+    """(digest, mask) for the classes (digest, run, windows, count) of very common seeds, each window met by its own
+    digest."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("digest", pa.binary()), ("at", pa.int32()), ("window", pa.binary()), ("count", pa.int64())])
@@ -186,15 +175,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_
                     yield from record_batches(out, schema, 16384)
 
     met = stored(keyed.mapInArrow(meet, "id long, key long, start int, seed long, digest binary, run binary, place int, windows int"))
-    classes = met.groupBy("digest").agg(F.count(F.lit(1)).alias("count"), *(F.first(c, ignorenulls=True).alias(c) for c in ("run", "seed", "place", "windows")))
-    classes = classes.select("seed", "digest", "run", "place", "windows", "count")
-    common = met.select("seed", "digest").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP)
-    common = checkpointed(common.select("seed"))  # one in GROUP classes at most
-    large = not common.isEmpty()
-    small = classes.join(common, "seed", "left_anti") if large else classes
+    classes = classes_of(met, max_filter_bits)
+    common = checkpointed(classes.several.filter(F.col("classes") > GROUP).select("seed"))  # one in GROUP classes at most
+    large, rows = not common.isEmpty(), classes.rows
+    small = rows.join(common, "seed", "left_anti").select(rows.columns) if large else rows
     masks = small.repartition(partitions(spark), "seed").sortWithinPartitions("seed").mapInArrow(_masks(window, gram), "digest binary, mask long")
+    masks = masks.unionByName(classes.alone.select("digest", F.expr("shiftleft(1L, windows) - 1").alias("mask")))
     if large:
-        masks = masks.unionByName(_by_window(classes.join(common, "seed", "left_semi"), window))
+        whole = rows.join(common, "seed", "left_semi").groupBy("digest").agg(F.first("run", ignorenulls=True).alias("run"), F.first("windows").alias("windows"), F.sum("count").alias("count"))
+        masks = masks.unionByName(_by_window(whole, window))
     found = met.select("id", "key", "start", "digest").join(masks, "digest").groupBy("id", "key").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
     return found.select(F.col("id").alias("__id"), F.col("key").alias("__text_key"), F.col("found").alias("__found"))
 

@@ -36,7 +36,12 @@ def suspected(hashes: np.ndarray, twice: np.ndarray, bits: int) -> np.ndarray:
 
 
 def seen_twice(rows: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """The filter of hashes seen at least twice, as packed bits. `hashes` gives the uint64 hashes of a batch of rows.
+    return seen(rows, bits, hashes, 2)
+
+
+def seen(rows: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], np.ndarray], times: int) -> np.ndarray:
+    """The filter of hashes seen `times` (1 or 2) times at least, as packed bits. `hashes` gives the uint64 hashes of a
+    batch of rows.
 
     Each task sends the positions its own two filters hold. A position in the first filters of two tasks, or in the
     second filter of one, belongs to the second filter of the whole corpus.
@@ -45,8 +50,8 @@ def seen_twice(rows: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], np
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.uint64), *(hashes(batch) for batch in batches)]
-        once, times = np.unique(np.concatenate(held), return_counts=True)
-        ones, twos = (np.unique(positions(x, bits)) for x in (once, once[times > 1]))
+        once, count = np.unique(np.concatenate(held), return_counts=True)
+        ones, twos = (np.unique(positions(x, bits)) for x in (once, once[count >= times]))
         edges = np.arange(CHUNKS + 1, dtype=np.uint64) * np.uint64(span)
         a, b = np.searchsorted(ones, edges), np.searchsorted(twos, edges)
         found = (
