@@ -65,24 +65,26 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int =
     return found.select("id", "digest").join(confirmed, "digest").filter("id > first").groupBy("id").agg(F.collect_set("digest").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int = MAX_FILTER_BITS, counts: bool = True) -> DataFrame:
     """docs with the lines of repeated keys dropped from all but the smallest doc_id that holds the key.
 
     A line's key is the line without surrounding `[\\x20\\x09-\\x0D]`, A-Z lower-cased; shorter keys than min_chars code
     points never count as repeats. All columns stay; `text` holds the kept lines, and n_lines (before dropping) and
-    n_dropped are added, replacing columns of these names.
+    n_dropped are added, replacing columns of these names, unless counts is false.
 
     Null or empty text is one empty line and gives an empty text. Rows that share a doc_id are one document; rows whose
     doc_id is null are together one document that ranks last. An empty table gives an empty table.
     """
     drop = repeated_lines(docs, min_chars, max_filter_bits).withColumnsRenamed({"id": "__id", "drop": "__drop"})
-    docs = docs.drop("n_lines", "n_dropped")
+    if counts:
+        docs = docs.drop("n_lines", "n_dropped")
     fields = [f for f in docs.schema.fields if f.name != "text"]
-    schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    added = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if counts else []
+    schema = T.StructType([*fields, T.StructField("text", T.StringType()), *added])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, counts, dropped = [], [], []
+            kept, lines_, dropped = [], [], []
             for text, drop in zip(texts(batch.column("text")), batch.column("__drop").to_pylist(), strict=True):
                 lines = text.split(b"\n")
                 left = lines
@@ -90,9 +92,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int = MAX
                     gone = set(drop)
                     left = [x for x in lines if (k := line_key(x.lower(), min_chars)) is None or xxhash.xxh3_128_digest(k) not in gone]
                 kept.append(b"\n".join(left))
-                counts.append(len(lines))
+                lines_.append(len(lines))
                 dropped.append(len(lines) - len(left))
-            columns = [batch.column(f.name) for f in fields] + [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())]
+            columns = [batch.column(f.name) for f in fields] + [pa.array(kept, pa.binary()).cast(pa.string())]
+            columns += [pa.array(lines_, pa.int64()), pa.array(dropped, pa.int64())] if counts else []
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.withColumn("__id", id_or_last()).join(drop, "__id", "left").mapInArrow(clean, schema)

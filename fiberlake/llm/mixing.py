@@ -140,18 +140,23 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = N
     null and empty texts count as one token, so that they can be placed. Rows equal in doc_id and text are taken
     together. An empty table gives an empty table.
     """
-    docs = docs.drop("n_tokens", "weight", "copies")
+    added = {"n_tokens": F.col("__tokens"), "weight": F.col("__weight"), "copies": F.col("__copies")}
+    rows = _planned(docs, entropy, repeats, budget, key, source, budget_share)
+    return rows.select(*[c for c in docs.columns if c not in added], *[v.alias(n) for n, v in added.items()])
+
+
+def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: float | None = None, key: int = 0, source: str = "source", budget_share: float | None = None) -> DataFrame:
+    """The mixture itself: the rows of docs, with their own columns, each as often as mix() has copies of it."""
+    rows = _planned(docs, entropy, repeats, budget, key, source, budget_share).filter("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+
+
+def _planned(docs: DataFrame, entropy: float | None, repeats: float | None, budget: float | None, key: int, source: str, budget_share: float | None) -> DataFrame:
+    """docs with __tokens, __weight and __copies."""
     counted = token_counts(docs, source)
     rows = checkpointed(row_key(counted).select(F.col("__source").alias("source"), F.col("__tokens").alias("tokens"), _hash(key).alias("h")))
     chosen = plan(rows, entropy, repeats, budget, budget_share).select(F.col("source").alias("__source"), F.col("weight").alias("__weight"), F.col("passes").alias("__passes"), F.col("last").alias("__last"))
-    copies = F.col("__passes") + (_hash(key) <= F.col("__last")).cast("long")
-    joined = row_key(counted).join(chosen, "__source")
-    return joined.select(*docs.columns, F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), copies.alias("copies"))
-
-
-def repeated(mixed: DataFrame) -> DataFrame:
-    """The rows of mix(), each as often as it is held, without the columns that mix() adds."""
-    return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("__copy", "copies", "weight", "n_tokens")
+    return row_key(counted).join(chosen, "__source").withColumn("__copies", F.col("__passes") + (_hash(key) <= F.col("__last")).cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

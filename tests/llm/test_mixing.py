@@ -100,8 +100,8 @@ def test_odd_tables(spark):
     rows = mixing.mix(docs, repeats=2.0).collect()
     assert len(rows) == 4 and all(r.copies >= 1 for r in rows)
     assert mixing.mix(docs.limit(0), repeats=2.0).count() == 0
-    whole = mixing.repeated(mixing.mix(docs, repeats=2.0))
-    assert whole.columns == [c for c in docs.columns if c != "copies"]
+    whole = mixing.mixed(docs, repeats=2.0)
+    assert whole.columns == docs.columns and whole.count() == sum(r.copies for r in rows)
     one = mixing.mix(documents(spark, ["a", "b"], ["x", "x"]), entropy=0.5, budget=4.0).collect()
     assert [r.copies for r in one] == [2, 2]
     with pytest.raises(ValueError):
