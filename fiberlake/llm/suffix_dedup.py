@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from .anchors import runs
 from .common import record_batches, row_key, stored, table, texts
+from .seeds import classes_of, gathered
 from .suffix_sort import Scratch, repeated
 from .twice import MAX_FILTER_BITS, filter_bits, seen_twice, suspected
 
@@ -116,42 +117,29 @@ class Shard:
 
 
 def _sorted_shards(window: int, memory: int):
-    """Rows (shard, seed, digest, run, windows, count), sorted by shard and seed, to (digest, spans)."""
+    """Rows of Classes with a shard, sorted by shard and seed, to (digest, spans)."""
     schema = pa.schema([("digest", pa.binary()), ("spans", pa.list_(pa.int32()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: Shard | None = None
-        now, seed, alone = None, None, None  # alone: the only class of the seed so far
-
-        def single() -> list[tuple[bytes, list[int]]]:
-            return [(alone[0], [0, alone[2]])] if alone is not None and alone[3] > 1 else []
-
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[int]]]:
+        shard, now = None, None
         try:
-            for batch in batches:
-                done: list[tuple[bytes, list[int]]] = []
-                for number, s, digest, data, windows, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (number, s) != (now, seed):
-                        done += single()
-                        alone, seed = (digest, data, windows, count), s
-                        if number != now:
-                            if shard is not None:
-                                yield from record_batches(shard.spans(), schema, 16384)
-                                shard.close()
-                            shard, now = Shard(window, memory), number
-                        continue
-                    if alone is not None:
-                        shard.add(*alone)
-                        alone = None
-                    shard.add(digest, data, windows, count)
-                yield from record_batches(done, schema, 16384)
-            yield from record_batches(single(), schema)
+            for (number, _), held in gathered(batches, "shard", "seed"):
+                if number != now and shard is not None:
+                    yield from shard.spans()
+                    shard.close()
+                    shard = None
+                now = number
+                if len(held) > 1:
+                    shard = shard or Shard(window, memory)
+                    for digest, (run, _, windows, count) in held.items():
+                        shard.add(digest, run, windows, count)
             if shard is not None:
-                yield from record_batches(shard.spans(), schema, 16384)
+                yield from shard.spans()
         finally:
             if shard is not None:
                 shard.close()
 
-    return run
+    return lambda batches: record_batches(found(batches), schema, 16384)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
@@ -166,7 +154,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each run with a suspected anchor; its bytes are sent once a task."""
-        schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("seed", pa.int64()), ("digest", pa.binary()), ("run", pa.binary()), ("windows", pa.int32())])
+        schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("seed", pa.int64()), ("digest", pa.binary()), ("run", pa.binary()), ("place", pa.int32()), ("windows", pa.int32())])
         sent: set[bytes] = set()
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -185,16 +173,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes
                             if len(sent) >= SENT:
                                 sent.clear()
                             sent.add(digest)
-                        out.append((ids[rows[t]], keys[rows[t]], at, s, digest, data, b - a + 1))
+                        out.append((ids[rows[t]], keys[rows[t]], at, s, digest, data, 0, b - a + 1))
                     yield from record_batches(out, schema, 4096)
 
-    met = stored(keyed.mapInArrow(meet, "id long, key long, start long, seed long, digest binary, run binary, windows int"))
-    classes = met.groupBy("digest").agg(F.count(F.lit(1)).alias("count"), *(F.first(c, ignorenulls=True).alias(c) for c in ("run", "seed", "windows")))
-    # shards by the bytes there are; what a task sends twice only makes them smaller
-    total = met.agg(F.sum(F.length("run"))).first()[0] or 0
+    met = stored(keyed.mapInArrow(meet, "id long, key long, start long, seed long, digest binary, run binary, place int, windows int"))
+    classes = classes_of(met, max_filter_bits)
+    # each class has one row with a count
+    total = classes.rows.filter("count is not null").agg(F.sum(F.col("windows") + window)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
-    dealt = classes.select(F.pmod(F.xxhash64("seed"), F.lit(shards)).alias("shard"), "seed", "digest", "run", "windows", "count")
+    dealt = classes.rows.withColumn("shard", F.pmod(F.xxhash64("seed"), F.lit(shards)))
     spans = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "seed").mapInArrow(_sorted_shards(window, memory), "digest binary, spans array<int>")
+    spans = spans.unionByName(classes.alone.select("digest", F.array(F.lit(0), "windows").alias("spans")))
     found = met.select("id", "key", "start", "digest").join(spans, "digest").groupBy("id", "key").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
     return found.select(F.col("id").alias("__id"), F.col("key").alias("__text_key"), F.col("found").alias("__found"))
 
