@@ -33,9 +33,9 @@ from .twice import MAX_FILTER_BITS, filter_bits, seen_twice, suspected
 
 WINDOW = 400
 GRAM = 32
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Tuples that sorting holds in memory.
-MEMORY = 6 << 20
+MEMORY = 4 << 20
 #: Bytes laid end to end for hashing.
 CHUNK = 1 << 20
 #: Digests of runs that a task remembers having sent.

@@ -115,7 +115,8 @@ class Queue:
             if end == len(run[0]):
                 for x in run[:3]:
                     self.scratch.drop(x)
-        yield from held
+        if held:  # no more than the memory
+            yield np.concatenate([p for p, _ in held]), np.concatenate([c for _, c in held])
 
 
 class _Least:
@@ -193,7 +194,11 @@ def _named(text: np.ndarray, stars: np.ndarray, ends: np.ndarray, depth: int, bi
         own = order[todo]
         block = np.cumsum(new)[todo]
         word = _words(text, stars[own] + at, size[own] - at, bits)
-        by = np.lexsort((word, block))
+        by = np.argsort(word)
+        if at:
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            by = np.argsort(block * len(by) + place)
         own, block, word = own[by], block[by], word[by]
         order[todo] = own
         new[todo[1:]] |= (word[1:] != word[:-1]) | (block[1:] != block[:-1])
@@ -263,7 +268,7 @@ def _sorted_small(text: np.ndarray, steps: int) -> tuple[np.ndarray, list[np.nda
     """(order, levels) by doubling in memory, by the first `steps` symbols at least. Suffixes are equal in levels[k] if
     they are equal in their first 2 ** k symbols."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
+    order = np.argsort(text)
     rank = np.empty(n, np.int32)
     rank[order] = np.concatenate([[0], np.cumsum(np.diff(text[order]) != 0)])
     levels = []
@@ -278,7 +283,7 @@ def _sorted_small(text: np.ndarray, steps: int) -> tuple[np.ndarray, list[np.nda
             return order, levels
         own = order[todo]
         after = np.where(own + span < n, rank[np.minimum(own + span, n - 1)] + 1, 0)
-        by = np.lexsort((after, rank[own]))
+        by = np.argsort(rank[own].astype(np.int64) * (n + 1) + after)
         own, after = own[by], after[by]
         order[todo] = own
         group = rank[own]
@@ -389,9 +394,9 @@ class _Pass:
         next."""
         before = places - 1
         own = np.flatnonzero((before >= 0) & (self.types[np.maximum(before, 0)] == self.kind))
-        symbols = self.text[before[own]].astype(np.int64)
-        by = np.argsort(symbols, kind="stable")
-        own, symbols = own[by], symbols[by]
+        symbols = self.text[before[own]]
+        by = np.argsort(symbols, kind="stable")  # of 16-bit symbols, a radix sort
+        own, symbols = own[by], symbols[by].astype(np.int64)
         values = np.zeros(len(own), np.uint16)
         if self.carry:
             least = _Least(common)
