@@ -49,21 +49,33 @@ def classes_of(met: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> Classe
     return Classes(alone, several, both.mapInArrow(likely, both.schema))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[tuple[tuple, dict[bytes, list]]]:
-    """(key, classes) of each group of rows that are sorted by key: digest to [run, place, windows, count]."""
-    now, held = None, {}
+def classes_in_order(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[tuple[tuple, bytes, list]]:
+    """(key, digest, [run, place, windows, count]) of each class, of rows that are sorted by key and digest."""
+    now, entry = None, None
     for batch in batches:
         columns = [batch.column(k).to_pylist() for k in (*key, "digest", "windows", "count", "place", "run")]
         for row in zip(*columns, strict=True):
-            group, (digest, windows, count, place, run) = row[: len(key)], row[len(key) :]
+            group, (windows, count, place, run) = row[: len(key) + 1], row[len(key) + 1 :]
             if group != now:
-                if held:
-                    yield now, held
-                now, held = group, {}
-            entry = held.setdefault(digest, [None, 0, windows, 0])
+                if entry is not None:
+                    yield now[:-1], now[-1], entry
+                now, entry = group, [None, 0, windows, 0]
             if run is None:
                 entry[3] += count
             elif entry[0] is None:
                 entry[0], entry[1] = run, place
+    if entry is not None:
+        yield now[:-1], now[-1], entry
+
+
+def gathered(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[tuple[tuple, dict[bytes, list]]]:
+    """(key, classes) of each group: digest to [run, place, windows, count]."""
+    now, held = None, {}
+    for group, digest, entry in classes_in_order(batches, *key):
+        if group != now:
+            if held:
+                yield now, held
+            now, held = group, {}
+        held[digest] = entry
     if held:
         yield now, held

@@ -107,7 +107,7 @@ def extend_all(classes: list[tuple[list[bytes], int, int, int]], window: int, gr
 
 
 def _masks(window: int, gram: int):
-    """Rows of Classes, sorted by seed, to (digest, mask)."""
+    """Rows of Classes, sorted by seed and digest, to (digest, mask)."""
     schema = pa.schema([("digest", pa.binary()), ("mask", pa.int64())])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
@@ -179,7 +179,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_
     common = checkpointed(classes.several.filter(F.col("classes") > GROUP).select("seed"))  # one in GROUP classes at most
     large, rows = not common.isEmpty(), classes.rows
     small = rows.join(common, "seed", "left_anti").select(rows.columns) if large else rows
-    masks = small.repartition(partitions(spark), "seed").sortWithinPartitions("seed").mapInArrow(_masks(window, gram), "digest binary, mask long")
+    masks = small.repartition(partitions(spark), "seed").sortWithinPartitions("seed", "digest").mapInArrow(_masks(window, gram), "digest binary, mask long")
     masks = masks.unionByName(classes.alone.select("digest", F.expr("shiftleft(1L, windows) - 1").alias("mask")))
     if large:
         whole = rows.join(common, "seed", "left_semi").groupBy("digest").agg(F.first("run", ignorenulls=True).alias("run"), F.first("windows").alias("windows"), F.sum("count").alias("count"))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .anchors import runs
 from .common import record_batches, row_key, stored, table, texts
-from .seeds import classes_of, gathered
+from .seeds import classes_in_order, classes_of
 from .suffix_sort import Scratch, repeated
 from .twice import MAX_FILTER_BITS, filter_bits, seen_twice, suspected
 
@@ -117,22 +117,26 @@ class Shard:
 
 
 def _sorted_shards(window: int, memory: int):
-    """Rows of Classes with a shard, sorted by shard and seed, to (digest, spans)."""
+    """Rows of Classes with a shard, sorted by shard, seed and digest, to (digest, spans)."""
     schema = pa.schema([("digest", pa.binary()), ("spans", pa.list_(pa.int32()))])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[int]]]:
-        shard, now = None, None
+        shard, now, seed = None, None, None
+        first = None  # the only class of the seed so far
         try:
-            for (number, _), held in gathered(batches, "shard", "seed"):
+            for (number, s), digest, (run, _, windows, count) in classes_in_order(batches, "shard", "seed"):
                 if number != now and shard is not None:
                     yield from shard.spans()
                     shard.close()
                     shard = None
-                now = number
-                if len(held) > 1:
-                    shard = shard or Shard(window, memory)
-                    for digest, (run, _, windows, count) in held.items():
-                        shard.add(digest, run, windows, count)
+                if (number, s) != (now, seed):
+                    now, seed, first = number, s, (digest, run, windows, count)
+                    continue
+                shard = shard or Shard(window, memory)
+                if first is not None:
+                    shard.add(*first)
+                    first = None
+                shard.add(digest, run, windows, count)
             if shard is not None:
                 yield from shard.spans()
         finally:
@@ -182,7 +186,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes
     total = classes.rows.filter("count is not null").agg(F.sum(F.col("windows") + window)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
     dealt = classes.rows.withColumn("shard", F.pmod(F.xxhash64("seed"), F.lit(shards)))
-    spans = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "seed").mapInArrow(_sorted_shards(window, memory), "digest binary, spans array<int>")
+    spans = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "seed", "digest").mapInArrow(_sorted_shards(window, memory), "digest binary, spans array<int>")
     spans = spans.unionByName(classes.alone.select("digest", F.array(F.lit(0), "windows").alias("spans")))
     found = met.select("id", "key", "start", "digest").join(spans, "digest").groupBy("id", "key").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
     return found.select(F.col("id").alias("__id"), F.col("key").alias("__text_key"), F.col("found").alias("__found"))
