@@ -11,8 +11,9 @@ holds more of it than block totals.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,15 +25,34 @@ from .common import checkpointed, row_key, table, texts
 SECTIONS, ROUNDS = 64, 6
 #: Bits of the keyed hash that number the blocks of one level; two levels and then single documents.
 BLOCK_BITS, LEVELS, HASH_BITS = 10, 2, 60
+#: Tables of one row a source are broadcast up to so many rows (a few MB); more sources are joined by a shuffle.
+MOST_BROADCAST = 50_000
 
 
-def _moments(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
-    """For each exponent a: the sums of p ** a and of p ** a * ln p; one row an exponent."""
-    a = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("a")) for i, x in enumerate(exponents)]))
-    power = F.exp(F.col("e.a") * F.log("p"))
-    rows = shares.withColumn("e", a).groupBy("e.i").agg(F.sum(power).alias("s"), F.sum(power * F.log("p")).alias("l")).collect()
-    by = {r.i: (r.s, r.l) for r in rows}
-    return [by[i] for i in range(len(exponents))]
+def _by_source(table: DataFrame) -> DataFrame:
+    """A stored table of a row a source, broadcast if it is counted to be small, so that a source that holds a third of
+    all rows is not gathered for its one row."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
+
+Moments = Callable[[list[float]], list[tuple[float, float]]]
+
+
+def _moments(shares: DataFrame, n: int) -> Moments:
+    """For each of some exponents a: the sums of p ** a and of p ** a * ln p. n shares are summed on the driver if they
+    are few, else each call is a job that returns a row an exponent."""
+    if n <= MOST_BROADCAST:
+        p = np.sort(np.array([r.p for r in shares.select("p").collect()], float))
+        return lambda exponents: [(float((p**a).sum()), float((p**a * np.log(p)).sum())) for a in exponents]
+
+    def run(exponents: list[float]) -> list[tuple[float, float]]:
+        a = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("a")) for i, x in enumerate(exponents)]))
+        power = F.exp(F.col("e.a") * F.log("p"))
+        rows = shares.withColumn("e", a).groupBy("e.i").agg(F.sum(power).alias("s"), F.sum(power * F.log("p")).alias("l")).collect()
+        by = {r.i: (r.s, r.l) for r in rows}
+        return [by[i] for i in range(len(exponents))]
+
+    return run
 
 
 def bisect_exponent(shares: DataFrame, entropy: float | None, repeats: float | None, budget_share: float | None) -> float:
@@ -47,6 +67,7 @@ def bisect_exponent(shares: DataFrame, entropy: float | None, repeats: float | N
     n, least, most = shares.agg(F.count(F.lit(1)), F.min("p"), F.max("p")).first()
     if n < 2 or least == most:
         return 1.0
+    moments = _moments(shares, n)
 
     def too_flat(a: float, s: float, _: float) -> bool:
         scale = most ** (a - 1) if budget_share is None else s / budget_share
@@ -59,7 +80,7 @@ def bisect_exponent(shares: DataFrame, entropy: float | None, repeats: float | N
         low, high = 0.0, 1.0
         for _ in range(ROUNDS):
             grid = [low + (high - low) * i / SECTIONS for i in range(SECTIONS + 1)]
-            under = [goes_up(a, *m) for a, m in zip(grid, _moments(shares, grid), strict=True)]
+            under = [goes_up(a, *m) for a, m in zip(grid, moments(grid), strict=True)]
             first = next((i for i, x in enumerate(under) if not x), SECTIONS)
             low, high = grid[max(0, first - 1)], grid[first]
         return high
@@ -67,7 +88,7 @@ def bisect_exponent(shares: DataFrame, entropy: float | None, repeats: float | N
     flattest = cut(too_flat) if repeats is not None else 0.0
     if entropy is None:
         return flattest
-    return max(flattest, 1.0 if not too_steep(1.0, *_moments(shares, [1.0])[0]) else cut(lambda a, s, log: not too_steep(a, s, log)))
+    return max(flattest, 1.0 if not too_steep(1.0, *moments([1.0])[0]) else cut(lambda a, s, log: not too_steep(a, s, log)))
 
 
 def token_counts(docs: DataFrame, source: str = "source") -> DataFrame:
@@ -98,7 +119,8 @@ def plan(rows: DataFrame, entropy: float | None, repeats: float | None, budget:
         return shares.select("source", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("passes"), F.lit(-1).cast("long").alias("last"))
     budget = whole * budget_share if budget_share is not None else budget
     a = bisect_exponent(shares, entropy, repeats, None if budget is None else budget / whole)
-    (s, _), most = _moments(shares, [a])[0], shares.agg(F.max("p")).first()[0]
+    n, most = shares.agg(F.count(F.lit(1)), F.max("p")).first()
+    s, _ = _moments(shares, n)([a])[0]
     tokens = whole * s * most ** (1 - a) if budget is None else budget
     weight = F.exp(F.lit(a) * F.log("p")) / F.lit(s)
     due = weight * F.lit(float(tokens)) / F.col("n")
@@ -106,9 +128,10 @@ def plan(rows: DataFrame, entropy: float | None, repeats: float | None, budget:
     passes = F.floor(due + 1e-9)
     cut = shares.select("source", weight.alias("weight"), passes.alias("passes"), F.greatest(F.lit(0), F.round((due - passes) * F.col("n"))).cast("long").alias("left"))
     cut = cut.withColumns({"low": F.lit(0).cast("long")})
+    cut = checkpointed(cut)
     for level in range(1, LEVELS + 1):
         shift = HASH_BITS - BLOCK_BITS * level
-        inside = rows.join(cut, "source")
+        inside = rows.join(_by_source(cut), "source")
         if level > 1:
             inside = inside.filter(F.shiftright("h", shift + BLOCK_BITS) == F.shiftright("low", shift + BLOCK_BITS))
         blocks = inside.groupBy("source", F.shiftright("h", shift).alias("block")).agg(F.sum("tokens").alias("t"))
@@ -124,7 +147,7 @@ def plan(rows: DataFrame, entropy: float | None, repeats: float | None, budget:
         )
         cut = checkpointed(cut)
     shift = HASH_BITS - BLOCK_BITS * LEVELS
-    last = rows.join(cut, "source").filter(F.shiftright("h", shift) == F.shiftright("low", shift)).groupBy("source", "h").agg(F.sum("tokens").alias("t"))
+    last = rows.join(_by_source(cut), "source").filter(F.shiftright("h", shift) == F.shiftright("low", shift)).groupBy("source", "h").agg(F.sum("tokens").alias("t"))
     order = Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = last.withColumn("upto", F.sum("t").over(order)).join(cut.select("source", "left"), "source").filter("upto <= left").groupBy("source").agg(F.max("h").alias("h"))
     return cut.join(last, "source", "left").select("source", "weight", "passes", F.coalesce(F.col("h"), F.col("low") - 1).alias("last"))
@@ -156,7 +179,7 @@ def _planned(docs: DataFrame, entropy: float | None, repeats: float | None, budg
     counted = token_counts(docs, source)
     rows = checkpointed(row_key(counted).select(F.col("__source").alias("source"), F.col("__tokens").alias("tokens"), _hash(key).alias("h")))
     chosen = plan(rows, entropy, repeats, budget, budget_share).select(F.col("source").alias("__source"), F.col("weight").alias("__weight"), F.col("passes").alias("__passes"), F.col("last").alias("__last"))
-    return row_key(counted).join(chosen, "__source").withColumn("__copies", F.col("__passes") + (_hash(key) <= F.col("__last")).cast("long"))
+    return row_key(counted).join(_by_source(checkpointed(chosen)), "__source").withColumn("__copies", F.col("__passes") + (_hash(key) <= F.col("__last")).cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,15 @@ def test_partial_pass_follows_the_keyed_order(spark):
         assert order == sorted(order, reverse=True)
 
 
+def test_many_sources_take_the_other_ways(spark, monkeypatch):
+    texts, sources = corpus(random.Random(5), {"a": 300, "b": 60, "c": 20})
+    docs = documents(spark, texts, sources)
+    few = {r.doc_id: (round(r.weight, 9), r.copies) for r in mixing.mix(docs, repeats=2.0, key=1).collect()}
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    many = {r.doc_id: (round(r.weight, 9), r.copies) for r in mixing.mix(docs, repeats=2.0, key=1).collect()}
+    assert few == many
+
+
 def test_odd_tables(spark):
     docs = documents(spark, ["a b", "a b", None, ""], ["x", "x", None, "y"], ids=[1, 1, None, 2]).withColumn("copies", F.lit("clash")).withColumn("tokens", F.lit(1)).withColumn("h", F.lit(2))
     rows = mixing.mix(docs, repeats=2.0).collect()
