@@ -6,10 +6,9 @@ a segment from which every chain of l consecutive segments differs in at most l
 the first segment, 1 in two, 2 in three and 3 in all. Classes meet by the exact first segment and one half of the
 second, which holds for a difference of one bit at most; the longer chains are then tested before the Hamming check.
 
-Three bits are far from all near copies: at a Jaccard similarity of 0.8 about a seventh of all bits differ. `dedup` takes
-wide fingerprints of WORDS words of 64 bits, on a ring of 4 * WORDS segments, and links at the number of bits that the
-similarity asks for. Classes meet there by any equal segment; chains of words from the meeting one are tested against
-their proportional budgets, with three standard deviations more as the meeting segment need not start the best chain.
+Three bits are far from all near copies: at a Jaccard similarity of 0.8 about a seventh of all bits differ, and no number
+of bits is a sharp limit. `dedup` therefore links by the shingles themselves (near_copies). `wide_links` joins wide
+fingerprints that share a segment; it misses some pairs near its limit, and `dedup` does not use it.
 
 Within a group, classes are linked by a spanning forest, never by all pairs; groups over BLOCK classes are dealt out as
 pairs of blocks, so that no task holds more than two blocks.
@@ -19,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_or_last, null_if_last, partitions, record_batches, table, texts
+from .common import checkpointed, id_or_last, null_if_last, partitions, record_batches, row_key, table, texts
 from .components import connected_components
 
 #: Classes that a task compares at once.
@@ -174,14 +174,6 @@ def links(classes: DataFrame) -> DataFrame:
     return _forests(_dealt(classes.select("id", "fp", F.explode(_meeting_keys(F.col("fp"))).alias("key"))), edges_of)
 
 
-def bits_for(similarity: float, words: int = WORDS) -> int:
-    """The Hamming distance of wide fingerprints at a Jaccard similarity, with one and a half standard deviations for its
-    spread, so that most pairs at just this similarity are linked."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * words
-    return int(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
-
-
 def wide_links(classes: DataFrame, most: int, words: int = WORDS) -> DataFrame:
     """The same for wide fingerprints (binary) that differ in at most `most` bits and share a segment."""
 
@@ -215,6 +207,15 @@ def wide_links(classes: DataFrame, most: int, words: int = WORDS) -> DataFrame:
     return _forests(_dealt(classes.select("id", "fp").mapInArrow(keys, "id long, fp binary, key long")), edges_of)
 
 
+def _lowest(classes: DataFrame, reach: DataFrame, node: str) -> DataFrame:
+    """(node, component): the smallest id that links reach from each class, of classes (node, id) and reach (node,
+    component). Nodes are the classes' own keys, as ids may be null or shared."""
+    reach = reach.select(F.col("node").alias("__node"), F.col("component").alias("__own"))
+    owned = classes.join(reach, classes[node] == reach["__node"], "left").select(node, "id", F.coalesce("__own", node).alias("__own"))
+    lowest = owned.groupBy("__own").agg(F.min("id").alias("component"))
+    return owned.select(node, "__own").join(lowest, "__own").select(node, "component")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document row.
 
@@ -224,37 +225,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     """
     rows = checkpointed(fingerprints(docs, shingle, seed))
     classes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    reach = connected_components(links(classes))
-    labelled = classes.join(reach, classes.id == reach.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
+    reach = connected_components(links(classes.select(F.col("fp").alias("id"), "fp")))
+    labelled = _lowest(classes, reach, "fp")
     return rows.join(labelled, "fp").select(
         null_if_last("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null_if_last("component").alias("component_id")
     )
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int, seed: int, words: int = WORDS) -> DataFrame:
-    """(id, fp): as fingerprints(), with fp of words * 64 bits as binary."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [fingerprint(t, shingle, seed, words).tobytes() for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["id", "fp"])
-
-    return docs.select(id_or_last().alias("id"), F.col("text").cast("binary")).mapInArrow(run, "id long, fp binary")
-
-
 def dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Two documents are linked if their wide fingerprints of word shingles differ no more than the similarity asks for.
-    Rows that share the smallest doc_id stay together; without ids, all rows of a group that has none stay. Texts without
-    words are equal. All columns stay; an empty table gives an empty table.
+    Two documents are linked if the Jaccard similarity of their sets of word shingles is `similarity` at least (see
+    near_copies); a group is what links reach. Rows that share the smallest doc_id of their group stay together; without
+    ids, all rows of a group that has none stay. Texts without words are equal. All columns stay; an empty table gives
+    an empty table.
     """
-    rows = checkpointed(wide_fingerprints(docs, shingle, seed))
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    reach = connected_components(wide_links(classes, bits_for(similarity)))
-    labelled = classes.join(reach, classes.id == reach.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
-    gone = rows.join(labelled, "fp").filter("component < id").select(F.col("id").alias("__id")).distinct()
-    return docs.withColumn("__id", id_or_last()).join(gone, "__id", "left_anti").select(*docs.columns)
+    from . import near_copies
+
+    least = Fraction(str(similarity))
+    rows = checkpointed(near_copies.shingled(docs, least, shingle, seed))
+    classes = near_copies.classed(rows)
+    firsts = rows.groupBy("node").agg(F.min("id").alias("id"))
+    labelled = _lowest(firsts, connected_components(near_copies.links(docs, classes, least, shingle, seed)), "node")
+    gone = rows.select("id", "text_key", "node").join(labelled, "node").filter("component < id")
+    gone = gone.select(F.col("id").alias("__id"), F.col("text_key").alias("__text_key")).distinct()
+    return row_key(docs).join(gone, ["__id", "__text_key"], "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
