@@ -9,7 +9,7 @@ from .functions.columns import epoch_seconds as to_epoch_seconds
 from .functions.columns import local_xy, morlet_scale_for_freq, offset_m
 from .operators.ais import near_route as filter_near_positions
 from .operators.ais import time_window
-from .operators.annotate import benchmark_detections, build_annotations, labels_for_range, nearest_ship_distance, ship_positions_at
+from .operators.annotate import annotate_files, benchmark_detections, build_annotations, labels_for_range, nearest_ship_distance, ship_positions_at
 from .operators.augment import (
     add_noise, channel_dropout, channel_shuffle, frequency_jitter, frequency_shift, gain_randomization, mixup, phase_shift, random_augment,
     spectral_mask, spectral_warp, time_mask, time_warp,
@@ -21,6 +21,7 @@ from .operators.geo import apply_translation, nearest_position, reference_point
 from .operators.geo import geojson_linestring as positions_to_geojson_linestring
 from .operators.geo import positions_sorted as positions_arrays
 from .operators.image import bandpass_energy_image, build_image, crop
+from .operators.nearest import Tree
 from .operators.offset import closest_approach_offsets as closest_approach_offset
 from .operators.offset import estimate_translation as estimate_translation_offset
 from .operators.offset import margin_sensitivity
@@ -35,8 +36,7 @@ from .sources.records import load_annotations, read_reports, save_annotations
 from .sources.records import read_cable as load_channel_positions
 
 measure_correlation = correlation_matrix
-#: A nearest-position search needs no index; the reference point of the distances is the positions' mean.
-build_nearest_tree, nearest_index = reference_point, nearest_position
+build_nearest_tree, nearest_index = Tree, nearest_position
 #: A stream of one file.
 detect_file = detect_stream
 
@@ -47,9 +47,10 @@ def extract_time_window(spark, path: str, start, end, time_format: str = "dd/MM/
 
 
 def annotate_file(center: Column | str, ais_near: DataFrame, positions: DataFrame, order: str = "ord", time_tol_s: float = 30.0) -> DataFrame:
-    """(pos, distance_m) at one time: the distance of each position to the nearest ship; without ships there is no row."""
-    one = ais_near.sparkSession.range(1).select(F.col("id").alias("file"), (F.lit(center) if isinstance(center, str) else center).cast("timestamp_ntz").alias("center"))
-    return nearest_ship_distance(positions, ship_positions_at(one, ais_near, order, time_tol_s), ("file",)).drop("file")
+    """(pos, distance_m) at one time: the distance of each position to the nearest ship, NO_SHIP_SENTINEL_M without."""
+    at = F.lit(center) if isinstance(center, str) else center
+    one = ais_near.sparkSession.range(1).select(F.col("id").alias("file"), at.cast("timestamp_ntz").alias("center"))
+    return nearest_ship_distance(positions, ship_positions_at(one, ais_near, order, time_tol_s))
 
 
 def nearest_ship_distance_m(positions: DataFrame, ships: DataFrame) -> DataFrame:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import distance, epoch_seconds, local_xy, ratio
-from ..schema import NO_SHIP_SENTINEL_M
+from ..functions.columns import epoch_seconds, ratio
+from ..schema import METERS_PER_DEGREE_LAT, NO_SHIP_SENTINEL_M
+from .geo import on_plane
+from .nearest import nearest
+
+
+#: Distances that the kernel takes at once.
+PAIRS = 1 << 20
 
 
 def ship_positions_at(files: DataFrame, ais: DataFrame, order: str, time_tol_s: float = 30.0) -> DataFrame:
@@ -14,56 +22,95 @@ def ship_positions_at(files: DataFrame, ais: DataFrame, order: str, time_tol_s:
     the first of equals. files: (file, center).
 
     Files and reports meet by time cells of twice the tolerance, each file in the cells its interval touches, so the
-    interval join is an equi-join.
+    interval join is an equi-join; a vessel's reports are reduced to one before the shuffle by file.
     """
     cell = max(2 * time_tol_s, 1e-6)
     span = F.sequence(F.floor((F.col("__c") - time_tol_s) / cell), F.floor((F.col("__c") + time_tol_s) / cell))
-    asked = files.withColumn("__c", epoch_seconds(F.col("center"))).withColumn("__cell", F.explode(span))
-    reports = ais.withColumn("__t", epoch_seconds(F.col("Timestamp"))).withColumn("__cell", F.floor(F.col("__t") / cell))
-    met = asked.join(reports, "__cell").withColumn("__dt", F.abs(F.col("__t") - F.col("__c"))).filter(F.col("__dt") <= time_tol_s)
-    best = F.row_number().over(Window.partitionBy("file", "MMSI").orderBy("__dt", order))
-    return met.withColumn("__n", best).filter("__n = 1").select("file", "center", "MMSI", "Latitude", "Longitude")
+    asked = files.select("file", "center").withColumn("__c", epoch_seconds(F.col("center"))).withColumn("__cell", F.explode(span))
+    reports = ais.select("MMSI", "Latitude", "Longitude", F.col(order).alias("__o"), epoch_seconds(F.col("Timestamp")).alias("__t"))
+    met = asked.join(reports.withColumn("__cell", F.floor(F.col("__t") / cell)), "__cell").withColumn("__dt", F.abs(F.col("__t") - F.col("__c"))).filter(F.col("__dt") <= time_tol_s)
+    best = met.groupBy("file", "center", "MMSI").agg(F.min(F.struct("__dt", "__o", "Latitude", "Longitude")).alias("__best"))
+    return best.select("file", "center", "MMSI", "__best.Latitude", "__best.Longitude")
 
 
-def nearest_ship_distance(positions: DataFrame, ships: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, pos, distance_m): the distance of each position to the nearest ship of each group, on the plane at the ships'
-    mean position. A group's ships are an array, so a row meets all of them at once."""
-    one = ships.groupBy(*by).agg(F.avg("Latitude").alias("__lat"), F.avg("Longitude").alias("__lon"), F.collect_list(F.struct("Latitude", "Longitude")).alias("__ships"))
+def nearest_ship_distance(positions: DataFrame, ships: DataFrame) -> DataFrame:
+    """(pos, distance_m): the distance of each position to the nearest of all ships, on the plane at their mean position;
+    NO_SHIP_SENTINEL_M without ships."""
+    ref = ships.agg(F.avg("Latitude").alias("ref_lat"), F.avg("Longitude").alias("ref_lon"))
+    points = on_plane(ships.select("Latitude", "Longitude"), ref, "Latitude", "Longitude").select(F.monotonically_increasing_id().alias("pos"), F.col("__x").alias("x"), F.col("__y").alias("y"))
+    found = nearest(on_plane(positions.select(F.col("pos").alias("__pos"), "lat", "lon"), ref), points, "__x", "__y")
+    return found.select(F.col("__pos").alias("pos"), F.coalesce("dist_m", F.lit(NO_SHIP_SENTINEL_M)).alias("distance_m"))
 
-    def away(s):
-        x, y = local_xy(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon"))
-        sx, sy = local_xy(s["Latitude"], s["Longitude"], F.col("__lat"), F.col("__lon"))
-        return distance(x - sx, y - sy)
 
-    met = one.crossJoin(F.broadcast(positions.select("pos", "lat", "lon")))  # a cable's few thousand positions
-    return met.select(*by, "pos", F.coalesce(F.array_min(F.transform("__ships", away)), F.lit(NO_SHIP_SENTINEL_M)).alias("distance_m"))
+def ship_distances(groups: DataFrame, positions: DataFrame, lats: str, lons: str) -> DataFrame:
+    """groups with distances_m, an array over the positions in the order of pos: the distance to the nearest of the
+    group's ships, whose places are two arrays, on the plane at their mean position; NO_SHIP_SENTINEL_M without ships.
+
+    A group has a row for each vessel at most, and a cable has a few thousand positions, which are broadcast.
+    """
+    places = positions.orderBy("pos").select("lat", "lon").toPandas()
+    held = positions.sparkSession.sparkContext.broadcast(places.to_numpy(float).T)
+
+    @F.pandas_udf("array<double>")
+    def away(a: pd.Series, b: pd.Series) -> pd.Series:
+        lat, lon = held.value
+        out = []
+        for slat, slon in zip(a, b, strict=True):
+            least = np.full(len(lat), NO_SHIP_SENTINEL_M)
+            if slat is not None and len(slat):
+                slat, slon = np.asarray(slat, float), np.asarray(slon, float)
+                rlat, rlon = slat.mean(), slon.mean()
+                scale = METERS_PER_DEGREE_LAT * np.cos(np.radians(rlat))
+                x, y = (lon - rlon) * scale, (lat - rlat) * METERS_PER_DEGREE_LAT
+                sx, sy = (slon - rlon) * scale, (slat - rlat) * METERS_PER_DEGREE_LAT
+                step = max(1, PAIRS // len(slat))
+                for at in range(0, len(lat), step):
+                    dx, dy = x[at : at + step, None] - sx, y[at : at + step, None] - sy
+                    least[at : at + step] = np.sqrt((dx * dx + dy * dy).min(axis=1))
+            out.append(least)
+        return pd.Series(out)
+
+    return groups.withColumn("distances_m", away(F.col(lats), F.col(lons)))
+
+
+def annotate_files(files: DataFrame, ais: DataFrame, positions: DataFrame, order: str, file_duration_s: float = 10.0, time_tol_s: float = 30.0) -> DataFrame:
+    """(file, center_time, distances_m): for each file the distance of each position, in the order of pos, to the nearest
+    ship at the file's centre, to 0.1 m; NO_SHIP_SENTINEL_M without a ship. files: (file, file_ts)."""
+    centres = files.select("file", (F.col("file_ts") + F.make_dt_interval(secs=F.lit(file_duration_s / 2).cast("decimal(18,6)"))).alias("center"))
+    # sorted, so that the mean does not depend on the order of arrival
+    ships = ship_positions_at(centres, ais, order, time_tol_s).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("MMSI", "Latitude", "Longitude"))).alias("__ships"))
+    every = centres.join(ships, "file", "left").select("file", F.col("center").alias("center_time"), F.col("__ships.Latitude").alias("__lats"), F.col("__ships.Longitude").alias("__lons"))
+    return ship_distances(every, positions, "__lats", "__lons").select("file", "center_time", F.transform("distances_m", lambda d: F.rint(d * 10) / 10).alias("distances_m"))
 
 
 def build_annotations(files: DataFrame, ais: DataFrame, positions: DataFrame, order: str, file_duration_s: float = 10.0, time_tol_s: float = 30.0) -> DataFrame:
-    """(file, center_time, channel, distance_m): for each file and position the distance to the nearest ship at the
-    file's centre, to 0.1 m; files without a ship have NO_SHIP_SENTINEL_M. files: (file, file_ts)."""
-    centres = files.select("file", (F.col("file_ts") + F.make_dt_interval(secs=F.lit(file_duration_s / 2).cast("decimal(18,6)"))).alias("center"))
-    near = nearest_ship_distance(positions, ship_positions_at(centres, ais, order, time_tol_s), ("file",))
-    every = centres.crossJoin(F.broadcast(positions.select("pos")))
-    rounded = F.rint(F.col("distance_m") * 10) / 10
-    return every.join(near, ["file", "pos"], "left").select("file", F.col("center").alias("center_time"), F.col("pos").cast("int").alias("channel"), F.coalesce(rounded, F.lit(NO_SHIP_SENTINEL_M)).alias("distance_m"))
+    """annotate_files with a row for each position: (file, center_time, channel, distance_m)."""
+    return annotate_files(files, ais, positions, order, file_duration_s, time_tol_s).select("file", "center_time", F.posexplode("distances_m").alias("channel", "distance_m"))
 
 
 def labels_for_range(annotations: DataFrame, range_m: float) -> DataFrame:
     return annotations.select("file", "channel", (F.col("distance_m") <= range_m).alias("label"))
 
 
-def benchmark_detections(detections: DataFrame, annotations: DataFrame, ranges_m: list[float] = (250.0, 500.0, 1000.0)) -> DataFrame:
-    """A row for each range: the confusion matrix over all detection rows (file, channel) that have an annotation, and
-    accuracy, precision, recall and f1 (0 where undefined). One join and one aggregate serve all ranges."""
-    rows = detections.select("file", "channel", "triggered").join(annotations.select("file", "channel", "distance_m"), ["file", "channel"])
+def benchmark_detections(detections: DataFrame, annotations: DataFrame, ranges_m: list[float] = (250.0, 500.0, 1000.0), by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each range, of each group of the detections' columns `by`: the confusion matrix over all detection rows (file, channel) that have an annotation, and
+    accuracy, precision, recall and f1 (0 where undefined). One join and one aggregate serve all ranges.
+
+    annotations: (file, channel, distance_m), or a row for each file as annotate_files gives it, which is joined by file
+    alone and shuffles a row for each file instead of one for each channel.
+    """
+    if "distances_m" in annotations.columns:
+        met = detections.select("file", "channel", "triggered", *by).join(annotations.select("file", "distances_m").hint("shuffle_hash"), "file")
+        rows = met.select(*by, "triggered", F.get("distances_m", F.col("channel")).alias("distance_m")).filter("distance_m is not null")
+    else:
+        rows = detections.select("file", "channel", "triggered", *by).join(annotations.select("file", "channel", "distance_m"), ["file", "channel"])
     counts = []
     for i, r in enumerate(ranges_m):
         near = F.col("distance_m") <= float(r)
         hit = F.col("triggered")
         counts += [F.count_if(c).alias(f"{n}{i}") for n, c in (("tp", hit & near), ("fp", hit & ~near), ("tn", ~hit & ~near), ("fn", ~hit & near))]
     table = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("range_m"), *[F.col(f"{n}{i}").alias(n) for n in ("tp", "fp", "tn", "fn")]) for i, r in enumerate(ranges_m)]))
-    found = rows.agg(*counts).select(table.alias("x")).select("x.*")
+    found = (rows.groupBy(*by) if by else rows).agg(*counts).select(*by, table.alias("x")).select(*by, "x.*")
     return with_scores(found, F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))
 
 

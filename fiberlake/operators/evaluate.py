@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import distance, epoch_seconds, local_xy
+from ..functions.columns import epoch_seconds
 from .ais import closest_reports
 from .annotate import with_scores
-from .geo import nearest_position, reference_point
+from .geo import nearest_position, on_plane, reference_point
+from .nearest import nearest
 
 
 def ground_truth_crossings(ais: DataFrame, positions: DataFrame, order: str) -> DataFrame:
@@ -20,17 +21,15 @@ def ground_truth_crossings(ais: DataFrame, positions: DataFrame, order: str) ->
 def _nearest_truth(detections: DataFrame, truth: DataFrame, positions: DataFrame) -> DataFrame:
     """detections (det_id, channel, timestamp) with the nearest truth (gt_id, smallest of equals) and dist_m, dt.
 
-    Distances depend on channels alone, so the truth is reduced to an array of its channels' places, one for each
-    crossing; detections meet it in a projection.
+    Distances depend on channels alone, so the nearest crossing is searched once a channel; detections meet a table of
+    the cable's channels.
     """
-    ref = F.broadcast(reference_point(positions))
-    x, y = local_xy(F.col("lat"), F.col("lon"), F.col("ref_lat"), F.col("ref_lon"))
-    places = F.broadcast(positions.crossJoin(ref).select(F.col("pos").alias("channel"), x.alias("x"), y.alias("y")))
-    truths = truth.join(places, "channel").agg(F.collect_list(F.struct("gt_id", "x", "y", epoch_seconds(F.col("timestamp")).alias("t"), F.col("channel").alias("gt_channel"))).alias("truths"))
-    rows = detections.join(places, "channel").crossJoin(F.broadcast(truths))  # one crossing a vessel
-    near = F.array_min(F.transform("truths", lambda g: F.struct(distance(F.col("x") - g["x"], F.col("y") - g["y"]).alias("dist_m"), g["gt_id"].alias("gt_id"), g["t"].alias("t"), g["gt_channel"].alias("gt_channel"))))
-    found = rows.withColumn("n", near).filter("n is not null")
-    return found.select(*detections.columns, "n.dist_m", "n.gt_id", "n.gt_channel", F.abs(epoch_seconds(F.col("timestamp")) - F.col("n.t")).alias("dt"))
+    places = on_plane(positions.select(F.col("pos").alias("channel"), "lat", "lon"), reference_point(positions)).select("channel", "__x", "__y")
+    # ranked by gt_id, one crossing a vessel; the rank decides between equals
+    ranked = truth.select("gt_id", F.col("channel").alias("gt_channel"), epoch_seconds(F.col("timestamp")).alias("gt_t")).withColumn("__rank", F.row_number().over(Window.orderBy("gt_id", "gt_t", "gt_channel")) - 1)
+    points = ranked.join(places, F.col("gt_channel") == F.col("channel")).select(F.col("__rank").alias("pos"), F.col("__x").alias("x"), F.col("__y").alias("y"))
+    best = nearest(places, points, "__x", "__y").select("channel", "dist_m", F.col("pos").cast("int").alias("__rank")).join(ranked, "__rank").drop("__rank")
+    return detections.join(best, "channel").select(*detections.columns, "dist_m", "gt_id", "gt_channel", F.abs(epoch_seconds(F.col("timestamp")) - F.col("gt_t")).alias("dt"))
 
 
 def match_detections(detections: DataFrame, truth: DataFrame, positions: DataFrame, max_range_m: float, max_time_s: float = 300.0) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import distance, local_xy
+from ..functions.columns import local_xy
 from ..schema import METERS_PER_DEGREE_LAT
-
-#: Positions that a row of the broadcast holds; a cable has a few thousand.
-BLOCK = 16384
-
+from .nearest import nearest
 
 def positions_sorted(positions: DataFrame) -> DataFrame:
     """positions with `pos`, the 0-based place in the order of channel_id. A cable's table is small and is ranked in one
@@ -23,33 +20,19 @@ def reference_point(positions: DataFrame) -> DataFrame:
     return positions.agg(F.avg("lat").alias("ref_lat"), F.avg("lon").alias("ref_lon"))
 
 
-def _blocks(positions: DataFrame) -> DataFrame:
-    """Rows of at most BLOCK positions, as (block, points), with the reference point of all."""
-    points = positions.groupBy(F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.collect_list(F.struct("pos", "lat", "lon")).alias("points"))
-    return points.crossJoin(F.broadcast(reference_point(positions)))
+def on_plane(rows: DataFrame, ref: DataFrame, lat: str = "lat", lon: str = "lon", x: str = "__x", y: str = "__y") -> DataFrame:
+    """rows with metres east and north (x, y) of the reference point, a table of one row."""
+    east, north = local_xy(F.col(lat), F.col(lon), F.col("ref_lat"), F.col("ref_lon"))
+    return rows.crossJoin(F.broadcast(ref)).withColumns({x: east, y: north}).drop("ref_lat", "ref_lon")
 
 
 def nearest_position(probes: DataFrame, positions: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """probes with dist_m and pos of the nearest position (the smallest pos of equals); distances are taken on the plane
-    at the mean position.
-
-    The positions come as arrays of at most BLOCK points, so a cable's table is one broadcast row and the search is a
-    projection, without a shuffle. More positions give more rows, and the best of them is kept for each probe.
-    """
-    blocks = _blocks(positions)
-
-    def place(p: Column) -> Column:
-        x, y = local_xy(F.col(lat), F.col(lon), F.col("ref_lat"), F.col("ref_lon"))
-        px, py = local_xy(p["lat"], p["lon"], F.col("ref_lat"), F.col("ref_lon"))
-        return F.struct(distance(x - px, y - py).alias("dist_m"), p["pos"].alias("pos"))
-
-    if blocks.count() <= 1:
-        found = probes.crossJoin(F.broadcast(blocks)).withColumn("__n", F.array_min(F.transform("points", place)))
-        return found.select(*probes.columns, F.col("__n.dist_m").alias("dist_m"), F.col("__n.pos").alias("pos"))
-    keyed = probes.withColumn("__id", F.monotonically_increasing_id())
-    each = keyed.crossJoin(F.broadcast(blocks)).withColumn("__n", F.array_min(F.transform("points", place)))
-    best = each.groupBy("__id", *probes.columns).agg(F.min("__n").alias("__n"))
-    return best.select(*probes.columns, F.col("__n.dist_m").alias("dist_m"), F.col("__n.pos").alias("pos"))
+    """probes with dist_m and pos of the nearest position (the smallest pos of equals), null for probes without a place;
+    distances are taken on the plane at the mean position. See nearest.py for the index."""
+    ref = reference_point(positions)
+    points = on_plane(positions.select("pos", "lat", "lon"), ref).select("pos", F.col("__x").alias("x"), F.col("__y").alias("y"))
+    found = nearest(on_plane(probes, ref, lat, lon), points, "__x", "__y")
+    return found.select(*probes.columns, "dist_m", F.col("pos").cast("int").alias("pos"))
 
 
 def apply_translation(positions: DataFrame, dlat_m: float, dlon_m: float) -> DataFrame:
@@ -58,12 +41,13 @@ def apply_translation(positions: DataFrame, dlat_m: float, dlon_m: float) -> Dat
     return positions.withColumns({"lat": F.col("lat") + F.lit(dlat_m) / F.lit(METERS_PER_DEGREE_LAT), "lon": lon})
 
 
-def geojson_linestring(positions: DataFrame, name: str = "cable") -> DataFrame:
-    """One row (geojson): a feature collection with the cable as one line, in the order of channel_id."""
+def geojson_linestring(positions: DataFrame, name: str = "cable", properties: dict[str, object] | None = None) -> DataFrame:
+    """One row (geojson): a feature collection with the cable as one line, in the order of channel_id. `properties` are
+    added to the feature's own, which has the name."""
     points = F.transform(F.array_sort(F.collect_list(F.struct("channel_id", "lon", "lat"))), lambda p: F.array(p["lon"], p["lat"]))
     feature = F.struct(
         F.lit("Feature").alias("type"),
-        F.struct(F.lit(name).alias("name")).alias("properties"),
+        F.struct(*[F.lit(v).alias(k) for k, v in {"name": name, **(properties or {})}.items()]).alias("properties"),
         F.struct(F.lit("LineString").alias("type"), points.alias("coordinates")).alias("geometry"),
     )
     return positions.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("geojson"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import distance, epoch_seconds, offset_m
 from .geo import nearest_position
+from .nearest import nearest
 
 
 def closest_approach_offsets(candidates: DataFrame, image: DataFrame, positions: DataFrame, channel_spacing_m: float, margins_m: list[float] = (1500.0,)) -> DataFrame:
@@ -17,11 +18,12 @@ def closest_approach_offsets(candidates: DataFrame, image: DataFrame, positions:
     without channels gives no row. Only the candidates' bins of the image are read past the join, once for all margins.
     """
     size = F.broadcast(image.agg(F.max("channel").alias("__last")))
-    bins = image.select("t", epoch_seconds(F.col("bin_time")).alias("bt")).distinct().agg(F.array_sort(F.collect_list(F.struct("bt", "t"))).alias("bins"))
-    nearest_bin = F.array_min(F.transform("bins", lambda b: F.struct(F.abs(b["bt"] - epoch_seconds(F.col("Timestamp"))).alias("d"), b["t"].alias("t"))))["t"]
-    seen = nearest_position(candidates, positions, "Latitude", "Longitude").crossJoin(F.broadcast(bins)).crossJoin(size)
+    bins = image.select(F.col("t").cast("long").alias("pos"), epoch_seconds(F.col("bin_time")).alias("x"), F.lit(0.0).alias("y")).distinct()
+    timed = nearest(candidates.withColumns({"__t": epoch_seconds(F.col("Timestamp")), "__zero": F.lit(0.0)}), bins, "__t", "__zero")
+    timed = timed.select(*candidates.columns, F.col("pos").alias("__bin"))  # the smallest t of equally near bins
+    seen = nearest_position(timed, positions, "Latitude", "Longitude").crossJoin(size)
     margins = F.explode(F.array(*[F.struct(F.lit(float(m)).alias("margin_m"), F.lit(round(m / channel_spacing_m)).alias("m")) for m in margins_m]))
-    asked = seen.select(*candidates.columns, nearest_bin.alias("t"), F.least(F.col("pos"), F.col("__last")).alias("near"), margins.alias("x"))
+    asked = seen.select(*candidates.columns, F.col("__bin").alias("t"), F.least(F.col("pos"), F.col("__last")).alias("near"), margins.alias("x"))
     cells = image.select("t", "channel", "value").join(F.broadcast(asked.select("t").distinct()), "t", "left_semi")
     met = asked.join(cells, (asked.t == cells.t) & (F.col("channel") >= F.col("near") - F.col("x.m")) & (F.col("channel") < F.col("near") + F.col("x.m")))
     loud = met.groupBy(*candidates.columns, F.col("x.margin_m").alias("margin_m")).agg(F.max(F.struct("value", (-F.col("channel")).alias("c"))).alias("best"))

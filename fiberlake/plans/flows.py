@@ -70,7 +70,7 @@ def benchmark_all(waveform: DataFrame, positions: DataFrame, ais: DataFrame, fs:
     """Scores by method and range against annotations of all files; all methods but the fixed threshold are
     post-processed."""
     files = waveform.select("file", "file_ts").distinct()
-    annotations = an.build_annotations(files, ai.near_route(ais, positions, "ord"), positions, "ord").cache()
+    annotations = an.annotate_files(files, ai.near_route(ais, positions, "ord"), positions, "ord")
     base = st.channel_baseline(im.build_image(waveform, "rms", fs, (1.0, 20.0)).select("channel", "value", F.lit(0).alias("t")))
     methods = {"fixed threshold": dense_baseline(waveform, fs), "temporal z": post_processed(de.detect_stream(waveform, base, fs, step), step)}
     methods["STA/LTA band"] = post_processed(de.sta_lta_stream(waveform, fs, step, sustain=0.3), step)
@@ -78,7 +78,8 @@ def benchmark_all(waveform: DataFrame, positions: DataFrame, ais: DataFrame, fs:
         if f < fs / 2:
             methods[f"STA/LTA wavelet {f:g} Hz"] = post_processed(de.sta_lta_stream(waveform, fs, step, None, f, sustain=0.3), step)
     methods["Radon"] = post_processed(ra.radon_detect_stream(waveform, fs, step, radius, slownesses, 0.1), step)
-    return reduce(DataFrame.unionByName, [an.benchmark_detections(d, annotations, ranges_m).withColumn("method", F.lit(m)) for m, d in methods.items()])
+    every = reduce(DataFrame.unionByName, [d.select("file", "channel", "triggered", F.lit(m).alias("method")) for m, d in methods.items()])
+    return an.benchmark_detections(every, annotations, ranges_m, ("method",))
 
 
 def ship_psd_features(waveform: DataFrame, annotations: DataFrame, fs: float, edges: list[float], ship_m: float = 300.0, noise_m: float = 2000.0, noise_channels: int = 3, seed: int = 0) -> DataFrame:

@@ -56,5 +56,5 @@ def ais(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    """Files start at every fiftieth event."""
-    return table(spark, sf, "events").filter(F.col("event_id") % 50 == 0).select(F.col("event_id").alias("file"), F.col("ts").alias("file_ts"))
+    """A file starts at every event."""
+    return table(spark, sf, "events").select(F.col("event_id").alias("file"), F.col("ts").alias("file_ts"))

@@ -21,6 +21,7 @@ from fiberlake.operators import radon as ra
 from fiberlake.operators import select as se
 from fiberlake.operators import stats as st
 from fiberlake.operators import transforms as tr
+from fiberlake.operators.nearest import Tree, nearest
 
 T0 = datetime(2025, 1, 1)
 FS = 400.0
@@ -147,12 +148,33 @@ def test_geo_and_ais(spark):
     assert [r.ord for r in ai.transiting(ai.near_route(reports, cable, "ord", 500.0)).collect()] == [0]
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
-    cable = route(spark, 50)
-    probes = cable.select(F.col("pos").alias("i"), "lat", (F.col("lon") + 1e-7).alias("lon"))
-    monkeypatch.setattr(geo, "BLOCK", 7)
-    got = geo.nearest_position(probes, cable).collect()
-    assert len(got) == 50 and all(r.i == r.pos for r in got)
+def brute_nearest(points, x, y):
+    away = np.sqrt((x - points[:, 1]) ** 2 + (y - points[:, 2]) ** 2)
+    return min(zip(away.tolist(), points[:, 0].astype(int).tolist(), strict=True))
+
+
+def test_nearest_tree():
+    rng = np.random.default_rng(10)
+    for n in (1, 16, 17, 40, 1000):
+        points = np.column_stack([rng.permutation(n), rng.integers(0, 30, n), rng.integers(0, 30, n)]).astype(float)  # ties and repeated places
+        tree = Tree(*points.T)
+        px, py = rng.integers(-20, 80, 500) / 2, rng.integers(-20, 80, 500) / 2
+        assert [*zip(*(v.tolist() for v in tree.search(px, py)), strict=True)] == [brute_nearest(points, x, y) for x, y in zip(px, py, strict=True)]
+    assert tree.search(np.array([np.nan, np.inf]), np.array([0.0, 0.0]))[1].tolist() == [-1, -1]
+    assert Tree(*np.zeros((3, 0))).search(np.zeros(2), np.zeros(2))[1].tolist() == [-1, -1]
+
+
+@pytest.mark.parametrize("held, block", [(1000, 1000), (0, 7)])
+def test_nearest_of_a_table(spark, held, block):
+    rng = np.random.default_rng(11)
+    points = np.column_stack([np.arange(60), rng.integers(0, 40, 60), rng.integers(0, 40, 60)])
+    table = spark.createDataFrame([(int(p), float(x), float(y)) for p, x, y in points] + [(60, None, 1.0)], "pos long, x double, y double")
+    probes = [(i, float(rng.integers(-10, 50)), float(rng.integers(-10, 50))) for i in range(300)] + [(300, None, 1.0), (300, 2.0, None)]
+    df = spark.createDataFrame(probes, "pos int, x double, y double").withColumnRenamed("pos", "i")
+    got = sorted(((r.i, r.dist_m, r.pos) for r in nearest(df, table, "x", "y", held, block).collect()), key=str)
+    want = [(i, *(brute_nearest(points.astype(float), x, y) if None not in (x, y) else (None, None))) for i, x, y in probes]
+    assert got == sorted(want, key=str)
+    assert {r.pos for r in nearest(df, table.filter("false"), "x", "y", max(held, 1), block).collect()} == {None}
 
 
 def test_detect_stream_finds_a_ship(spark):
@@ -242,6 +264,11 @@ def test_annotations(spark):
     near = {r.channel: r.distance_m for r in rows if r.file == "a"}
     assert len(rows) == 200 and abs(near[40] - 111.3) < 0.051 and near[40] <= min(near.values()) + 0.11
     assert {r.distance_m for r in rows if r.file == "b"} == {999999.0} and rows[0].center_time in (T0 + timedelta(seconds=5), T0 + timedelta(seconds=505))
+    by_file = an.annotate_files(files, ais, cable, "ord")
+    assert {(r.file, c): d for r in by_file.collect() for c, d in enumerate(r.distances_m)} == {(r.file, r.channel): r.distance_m for r in rows}
+    hits = spark.createDataFrame([(f, c, c % 3 == 0, c % 2) for f in "abz" for c in range(0, 104, 4)], "file string, channel int, triggered boolean, half int")
+    both = [sorted(an.benchmark_detections(hits, a, [111.0, 200.0], ("half",)).collect()) for a in (by_file, an.build_annotations(files, ais, cable, "ord"))]
+    assert both[0] == both[1] and len(both[0]) == 2
     ann = spark.createDataFrame([("a", c, d) for c, d in enumerate([10.0, 600.0, 2000.0, 5.0])], "file string, channel int, distance_m double")
     det = spark.createDataFrame([("a", c, t) for c, t in enumerate([True, False, False, True])] + [("z", 0, True)], "file string, channel int, triggered boolean")
     table = {r.range_m: r for r in an.benchmark_detections(det, ann, [100.0, 1000.0]).collect()}
@@ -264,7 +291,7 @@ def test_evaluation(spark):
     assert none[0].count() == 0 and none[1].count() == 4
 
 
-@pytest.mark.parametrize("north, east", [(50.0, 800.0), (-30.0, -500.0), (0.0, 600.0)])
+@pytest.mark.parametrize("north, east", [(35.0, 910.0), (-70.0, -420.0), (15.0, 0.0)])
 def test_offset_recovery(spark, north, east):
     cable = route(spark, 2000)
     p = {r.pos: r for r in cable.collect()}
