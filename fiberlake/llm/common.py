@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A document without an id ranks after every document with one.
 NO_ID = (1 << 63) - 1
+#: Zstandard's level for stored tables.
+STORED_LEVEL = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fiberlake-checkpoint-"))
 
 
@@ -44,7 +48,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a compressed Parquet table in the shared checkpoint folder; the table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", STORED_LEVEL).parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,9 @@ A record is `length` little-endian ids and the MARK. Shards are written by Spark
 one file, so a lost executor or a second attempt leaves no half shard and any file system that Spark knows will do.
 
 Texts are encoded once, into a staged table whose rows know their place in their task's part of the stream; the parts'
-totals, one number a task, place the parts. Only pieces of sequences are shuffled, compressed, to their shards.
+totals, one number a task, place the parts. Only pieces of sequences are shuffled: a task gathers those of one range of
+slots, some whole shards of RANGE_BYTES together, and packs them. The task of a range lays the pieces where they belong,
+so nothing is sorted, and its memory is that of the range, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -32,11 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Tokenizer, default_path
-from .common import partitions, record_batches, shared_folder, stored, table, texts
+from .common import record_batches, shared_folder, stored, table, texts
 
 #: Ends each record, as Spark's text writer ends each row.
 MARK = "\n"
 ROUNDS = 6
+#: Records that one task puts together.
+RANGE_BYTES = 64 << 20
+#: Pieces that a task gathers before it packs them.
+GATHERED = 32 << 20
+LEVEL = 6
 
 
 class Feistel:
@@ -182,47 +189,65 @@ def write_shards(docs: DataFrame, path: str, length: int = 1024, per_shard: int
     layout = Layout(tokens, -(-tokens // length), length, per_shard, dtype.itemsize, end_id, key)
     permutation, width = Feistel(max(1, layout.sequences), key), dtype.itemsize
 
+    each = max(1, RANGE_BYTES // (per_shard * layout.stride))  # shards of a range
+    span, most = each * per_shard, GATHERED
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("place", pa.int32()), ("ids", pa.binary())])
-        press = zstandard.ZstdCompressor(level=1).compress
+        schema = pa.schema([("range", pa.int64()), ("pieces", pa.binary())])
+        press = zstandard.ZstdCompressor(level=LEVEL).compress
+        held: dict[int, list] = {}
+        size = 0
+
+        def packed() -> Iterator[tuple[int, bytes]]:
+            for r, pieces in held.items():
+                rows, places, data = zip(*pieces, strict=True)
+                numbers = np.array([rows, places, [len(x) // width for x in data]], "<u4")
+                yield r, press(b"".join([len(pieces).to_bytes(4, "little"), numbers.tobytes(), *data]))
+            held.clear()
+
         for batch in batches:
             at = np.array([base.value[t] for t in batch.column(0).to_pylist()], np.int64) + batch.column(1).to_numpy()
-            n, data = batch.column(2).to_numpy(), batch.column(3).to_pylist()
-            first = at // length
+            n, first = batch.column(2).to_numpy(), at // length
             counts = (at + n - 1) // length - first + 1
-            doc = np.repeat(np.arange(len(data)), counts)
-            sequence = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-            found = (
-                (s // per_shard, s, max(0, begin), press(data[d][max(0, -begin) * width : (length - begin) * width]))
-                for d, s, begin in zip(doc.tolist(), permutation.slot(sequence).tolist(), (at[doc] - sequence * length).tolist(), strict=True)
-            )
-            yield from record_batches(found, schema, 2048)
+            for row, data in enumerate(batch.column(3)):
+                view = memoryview(data.as_buffer())
+                sequence = first[row] + np.arange(counts[row])
+                begins = at[row] - sequence * length
+                for slot, begin in zip(permutation.slot(sequence).tolist(), begins.tolist(), strict=True):
+                    piece = bytes(view[max(0, -begin) * width : (length - begin) * width])
+                    held.setdefault(slot // span, []).append((slot % span, max(0, begin), piece))
+                size += len(view)
+                if size >= most:
+                    yield from record_batches(packed(), schema, 256)
+                    size = 0
+        yield from record_batches(packed(), schema, 256)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("record", pa.binary())])
-        now, held = None, []
-        filler = np.array([end_id] * length, dtype).tobytes()
         open_ = zstandard.ZstdDecompressor().decompress
+        now, records = None, np.zeros((0, length), dtype)
 
-        def record() -> tuple[int, int, bytes]:
-            data = b"".join(held)
-            return (*now, data + filler[len(data) :])
+        def rows() -> Iterator[pa.RecordBatch]:
+            begin = 0 if now is None else now * span
+            return record_batches(((s // per_shard, s, records[s - begin].tobytes()) for s in range(begin, begin + len(records))), schema, 1024)
 
         for batch in batches:
-            out = []
-            for shard, slot, ids in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
-                if (shard, slot) != now:
-                    if held:
-                        out.append(record())
-                    now, held = (shard, slot), []
-                held.append(open_(ids))
-            yield from record_batches(out, schema, 1024)
-        if held:
-            yield from record_batches([record()], schema)
+            for r, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if r != now:
+                    yield from rows()
+                    now, records = r, np.full((min(span, layout.sequences - r * span), length), end_id, dtype)
+                data = open_(data.as_buffer())
+                count = int.from_bytes(data[:4], "little")
+                numbers = np.frombuffer(data, "<u4", 3 * count, 4).reshape(3, count)
+                ids = np.frombuffer(data, dtype, -1, 4 + numbers.nbytes)
+                ends = np.cumsum(numbers[2], dtype=np.int64).tolist()
+                for row, place, size, end in zip(*numbers.tolist(), ends, strict=True):
+                    records[row, place : place + size] = ids[end - size : end]
+        yield from rows()
 
     if layout.sequences:
-        pieces = rows.select("task", "at", "n", "ids").mapInArrow(cut, "shard long, slot long, place int, ids binary")
-        dealt = pieces.repartition(max(1, min(layout.shards, 4 * partitions(spark))), "shard").sortWithinPartitions("shard", "slot", "place")
+        pieces = rows.select("task", "at", "n", "ids").mapInArrow(cut, "range long, pieces binary")
+        dealt = pieces.repartition(-(-layout.sequences // span), "range").sortWithinPartitions("range")
         records = dealt.mapInArrow(joined, "shard long, slot long, record binary").sortWithinPartitions("shard", "slot")
         records.select("shard", F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", MARK).partitionBy("shard").text(f"{path}/shards")
     offsets = spark.createDataFrame(list(begins.items()) or [(0, 0)], "task int, base long")

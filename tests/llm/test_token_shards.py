@@ -24,7 +24,9 @@ def test_feistel_is_a_permutation(n):
 
 
 @pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.tiktoken"])
-def test_round_trip_and_resume(spark, tmp_path, vocabulary):
+def test_round_trip_and_resume(spark, tmp_path, vocabulary, monkeypatch):
+    monkeypatch.setattr(ts, "RANGE_BYTES", 3 * 50 * 33)
+    monkeypatch.setattr(ts, "GATHERED", 5000)
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "train", "tokenization", "été", "7!"]) for _ in range(rng.randrange(60))) for _ in range(300)]
     texts += [None, "", "long " * 5000, texts[0]]
@@ -64,6 +66,8 @@ def test_round_trip_and_resume(spark, tmp_path, vocabulary):
 def test_odd_tables(spark, tmp_path):
     docs = documents(spark, ["a", "a", "b"], ids=[None, None, 3])
     layout = ts.write_shards(docs, str(tmp_path / "a"), length=4, per_shard=2)
+    places = spark.read.parquet(str(tmp_path / "a/documents")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in places) == [("3", 2), ("None", 2), ("None", 2)] and sorted(r.first for r in places) == [0, 2, 4]
     assert layout.tokens == 6 and ts.read_shards(spark, str(tmp_path / "a")).count() == 2
     empty = ts.write_shards(docs.limit(0), str(tmp_path / "b"))
     assert empty.sequences == 0 and ts.read_shards(spark, str(tmp_path / "b")).count() == 0
