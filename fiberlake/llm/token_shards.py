@@ -40,9 +40,9 @@ from .common import record_batches, shared_folder, stored, table, texts
 MARK = "\n"
 ROUNDS = 6
 #: Records that one task puts together.
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 32 << 20
 #: Pieces that a task gathers before it packs them.
-GATHERED = 32 << 20
+GATHERED = 16 << 20
 LEVEL = 6
 
 
@@ -209,18 +209,20 @@ def write_shards(docs: DataFrame, path: str, length: int = 1024, per_shard: int
             at = np.array([base.value[t] for t in batch.column(0).to_pylist()], np.int64) + batch.column(1).to_numpy()
             n, first = batch.column(2).to_numpy(), at // length
             counts = (at + n - 1) // length - first + 1
-            for row, data in enumerate(batch.column(3)):
-                view = memoryview(data.as_buffer())
-                sequence = first[row] + np.arange(counts[row])
-                begins = at[row] - sequence * length
-                for slot, begin in zip(permutation.slot(sequence).tolist(), begins.tolist(), strict=True):
-                    piece = bytes(view[max(0, -begin) * width : (length - begin) * width])
-                    held.setdefault(slot // span, []).append((slot % span, max(0, begin), piece))
-                size += len(view)
-                if size >= most:
-                    yield from record_batches(packed(), schema, 256)
-                    size = 0
-        yield from record_batches(packed(), schema, 256)
+            doc = np.repeat(np.arange(len(at)), counts)
+            sequence = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+            slot, begin = permutation.slot(sequence), at[doc] - sequence * length
+            numbers = zip(doc.tolist(), (slot // span).tolist(), (slot % span).tolist(), np.maximum(begin, 0).tolist(), np.maximum(-begin * width, 0).tolist(), ((length - begin) * width).tolist(), strict=True)
+            row = -1
+            for d, r, s, place, low, high in numbers:
+                if d != row:
+                    row, data = d, batch.column(3)[d].as_py()
+                    size += len(data)
+                    if size >= most:
+                        yield from record_batches(packed(), schema, 64)
+                        size = len(data)
+                held.setdefault(r, []).append((s, place, data[low:high]))
+        yield from record_batches(packed(), schema, 64)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("record", pa.binary())])
@@ -264,22 +266,26 @@ def read_layout(spark: SparkSession, path: str) -> Layout:
 
 
 def read_shards(spark: SparkSession, path: str, layout: Layout | None = None, first_slot: int = 0) -> DataFrame:
-    """(shard, slot, ids): the records from first_slot on; shards before it are not opened."""
+    """(shard, slot, sequence, ids): the records from first_slot on, with their sequences' numbers in the stream; shards
+    before it are not opened."""
     layout = layout or read_layout(spark, path)
-    schema = "shard long, slot long, ids binary"
+    schema = "shard long, slot long, sequence long, ids binary"
     if first_slot >= layout.sequences:
         return spark.createDataFrame([], schema)
     length, stride, per_shard, width = layout.length, layout.stride, layout.per_shard, layout.width
+    permutation = Feistel(layout.sequences, layout.key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 view = memoryview(data.as_buffer())
                 if len(view) % stride:
                     raise ValueError(f"shard {shard} ends within a record")
-                begin = max(0, first_slot - shard * per_shard)
-                yield from record_batches(((shard, shard * per_shard + r, bytes(view[r * stride : r * stride + length * width])) for r in range(begin, len(view) // stride)), out, 1024)
+                for begin in range(max(0, first_slot - shard * per_shard), len(view) // stride, 1024):
+                    own = range(begin, min(begin + 1024, len(view) // stride))
+                    slots = shard * per_shard + np.array(own)
+                    ids = pa.array([view[r * stride : r * stride + length * width] for r in own], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(own)), pa.array(slots), pa.array(permutation.sequence(slots)), ids], names=["shard", "slot", "sequence", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
     return files.filter(F.col("shard") >= first_slot // per_shard).select(F.col("shard").cast("long"), "content").mapInArrow(run, schema)
@@ -293,12 +299,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path, key=2024, vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    permutation = Feistel(max(1, layout.sequences), layout.key)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = [hashlib.sha256(x).hexdigest() for x in texts(batch.column(2))]
-            sequence = permutation.sequence(batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(sequence), pa.array(digests, pa.string())], names=["slot", "shard", "sequence", "ids_sha256"])
-
-    return read_shards(spark, path, layout).mapInArrow(digest, "slot long, shard long, sequence long, ids_sha256 string")
+    return read_shards(spark, path, layout).select("slot", "shard", "sequence", F.sha2("ids", 256).alias("ids_sha256"))
