@@ -34,15 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Tokenizer, default_path
-from .common import record_batches, shared_folder, stored, table, texts
+from .common import record_batches, shared_folder, small_batches, stored, table, texts
 
 #: Ends each record, as Spark's text writer ends each row.
 MARK = "\n"
 ROUNDS = 6
 #: Records that one task puts together.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 #: Pieces that a task gathers before it packs them.
-GATHERED = 16 << 20
+GATHERED = 8 << 20
 LEVEL = 6
 
 
@@ -251,7 +251,8 @@ def write_shards(docs: DataFrame, path: str, length: int = 1024, per_shard: int
         pieces = rows.select("task", "at", "n", "ids").mapInArrow(cut, "range long, pieces binary")
         dealt = pieces.repartition(-(-layout.sequences // span), "range").sortWithinPartitions("range")
         records = dealt.mapInArrow(joined, "shard long, slot long, record binary").sortWithinPartitions("shard", "slot")
-        records.select("shard", F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", MARK).partitionBy("shard").text(f"{path}/shards")
+        with small_batches(spark):
+            records.select("shard", F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", MARK).partitionBy("shard").text(f"{path}/shards")
     offsets = spark.createDataFrame(list(begins.items()) or [(0, 0)], "task int, base long")
     rows.join(offsets, "task").select("doc_id", (F.col("base") + F.col("at")).alias("first"), F.col("n").alias("n_tokens")).write.mode("overwrite").parquet(f"{path}/documents")
     spark.createDataFrame([asdict(layout)], LAYOUT).coalesce(1).write.mode("overwrite").json(f"{path}/layout")
@@ -266,29 +267,31 @@ def read_layout(spark: SparkSession, path: str) -> Layout:
 
 
 def read_shards(spark: SparkSession, path: str, layout: Layout | None = None, first_slot: int = 0) -> DataFrame:
-    """(shard, slot, sequence, ids): the records from first_slot on, with their sequences' numbers in the stream; shards
-    before it are not opened."""
+    """(shard, slot, ids): the records from first_slot on; shards before it are not opened. Records are cut where the
+    file is read, by expressions alone."""
     layout = layout or read_layout(spark, path)
-    schema = "shard long, slot long, sequence long, ids binary"
     if first_slot >= layout.sequences:
-        return spark.createDataFrame([], schema)
-    length, stride, per_shard, width = layout.length, layout.stride, layout.per_shard, layout.width
-    permutation = Feistel(layout.sequences, layout.key)
+        return spark.createDataFrame([], "shard long, slot long, ids binary")
+    stride, per_shard = layout.stride, layout.per_shard
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
+    shard, size = F.col("shard").cast("long").alias("shard"), F.length("content")
+    broken = F.raise_error(F.concat(F.lit("a shard ends within a record: "), F.col("shard").cast("string")))
+    whole = F.when(size % stride == 0, size / stride).otherwise(broken).cast("int")
+    begin = F.greatest(F.lit(first_slot).cast("long") - F.col("shard") * per_shard, F.lit(0)).cast("int")
+    files = files.filter(F.col("shard") >= first_slot // per_shard).select(shard, "content", F.explode(F.sequence(begin, whole - 1)).alias("record"))
+    ids = F.substring("content", F.col("record") * stride + 1, F.lit(layout.length * layout.width))
+    return files.select("shard", (F.col("shard") * per_shard + F.col("record")).alias("slot"), ids.alias("ids"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                view = memoryview(data.as_buffer())
-                if len(view) % stride:
-                    raise ValueError(f"shard {shard} ends within a record")
-                for begin in range(max(0, first_slot - shard * per_shard), len(view) // stride, 1024):
-                    own = range(begin, min(begin + 1024, len(view) // stride))
-                    slots = shard * per_shard + np.array(own)
-                    ids = pa.array([view[r * stride : r * stride + length * width] for r in own], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(own)), pa.array(slots), pa.array(permutation.sequence(slots)), ids], names=["shard", "slot", "sequence", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
-    return files.filter(F.col("shard") >= first_slot // per_shard).select(F.col("shard").cast("long"), "content").mapInArrow(run, schema)
+def sequence_of(slot: F.Column, layout: Layout) -> F.Column:
+    """The number in the stream of the sequence at a slot."""
+    permutation = Feistel(max(1, layout.sequences), layout.key)
+
+    @F.arrow_udf("long")
+    def run(slots: pa.Array) -> pa.Array:
+        return pa.array(permutation.sequence(slots.to_numpy(zero_copy_only=False)))
+
+    return run(slot)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,4 +302,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path, key=2024, vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return read_shards(spark, path, layout).select("slot", "shard", "sequence", F.sha2("ids", 256).alias("ids_sha256"))
+    records = read_shards(spark, path, layout).select("slot", "shard", F.sha2("ids", 256).alias("ids_sha256"))
+    return records.withColumn("sequence", sequence_of(F.col("slot"), layout))

@@ -52,6 +52,8 @@ def test_round_trip_and_resume(spark, tmp_path, vocabulary, monkeypatch):
     order = ts.Feistel(layout.sequences, 9).sequence(np.arange(layout.sequences))
     rows = sorted((r.slot, r.shard, np.frombuffer(r.ids, "<u2").tolist()) for r in ts.read_shards(spark, path).collect())
     assert rows == [(s, s // 50, want[q]) for s, q in enumerate(order)]
+    named = ts.read_shards(spark, path).select("slot", ts.sequence_of(F.col("slot"), layout).alias("s"))
+    assert sorted((r.slot, r.s) for r in named.collect()) == [*enumerate(order.tolist())]
     later = sorted((r.slot, r.shard) for r in ts.read_shards(spark, path, first_slot=777).collect())
     assert later == [(s, s // 50) for s in range(777, layout.sequences)]
     # a plain reader seeks by stride
