@@ -249,7 +249,7 @@ def write_shards(docs: DataFrame, path: str, length: int = 1024, per_shard: int
 
     if layout.sequences:
         pieces = rows.select("task", "at", "n", "ids").mapInArrow(cut, "range long, pieces binary")
-        dealt = pieces.repartition(-(-layout.sequences // span), "range").sortWithinPartitions("range")
+        dealt = pieces.repartitionById(-(-layout.sequences // span), F.col("range").cast("int"))
         records = dealt.mapInArrow(joined, "shard long, slot long, record binary").sortWithinPartitions("shard", "slot")
         with small_batches(spark):
             records.select("shard", F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", MARK).partitionBy("shard").text(f"{path}/shards")
