@@ -29,7 +29,7 @@ from .operators.quality import channel_quality, measure_noise, persistence_score
 from .operators.radon import linear_radon_stack, radon_detect_stream, radon_score
 from .operators.select import TargetSelector, context_window, greedy_decorrelated
 from .operators.spectral import band_powers, bandpass, bandstop, channel_psd, dominant_frequency, highpass, lowpass, morlet_cwt_power, morlet_cwt_power_series, notch, wavelet_image
-from .operators.stats import channel_baseline, channel_stats, temporal_profile
+from .operators.stats import channel_baseline, channel_stats, describe, temporal_profile
 from .operators.transforms import decimate, detrend, normalize, smooth_spatial, smooth_temporal, taper, time_shift
 from .sources.files import index_files as index_das_files
 from .sources.records import load_annotations, read_reports, save_annotations

@@ -19,14 +19,20 @@ def zscore(image: DataFrame, *by: str) -> DataFrame:
 
 def neighbor_correlation(image: DataFrame, max_lag: int = 10) -> DataFrame:
     """(lag, rho) for lags 1 .. max_lag: the mean product of z-scores of channels so far apart, over all time bins and
-    channels; null where no two channels are so far apart. One shuffle by time bin serves all lags."""
+    channels; null where no two channels are so far apart. One shuffle by time bin serves all lags; channels that a time
+    bin lacks have no pairs there."""
     across = Window.partitionBy("t").orderBy("channel")
     z = zscore(image, "channel")
-    pairs = z.select("value", *[F.lead("value", k).over(across).alias(f"next_{k}") for k in range(1, max_lag + 1)])
+    pairs = z.select("value", *[_at_lag(k, across).alias(f"next_{k}") for k in range(1, max_lag + 1)])
     means = pairs.agg(*[F.avg(F.col("value") * F.col(f"next_{k}")).alias(f"r{k}") for k in range(1, max_lag + 1)])
     return means.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("rho")) for k in range(1, max_lag + 1)])).alias("x")).select("x.lag", "x.rho")
 
 
+def _at_lag(k: int, across) -> F.Column:
+    """The value k channels further, null if that channel is missing."""
+    return F.max("value").over(across.rangeBetween(k, k))
+
+
 #: Rows of the matrix of sums that travel as one.
 GRAM_ROWS = 64
 
@@ -51,6 +57,8 @@ def correlation_matrix(image: DataFrame, channels: list[int] | None = None) -> D
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, np.zeros((len(ids), len(ids)))
         for batch in batches:
+            if batch.num_rows and set(batch.column(0).value_lengths().to_pylist()) != {len(ids)}:
+                raise ValueError("a time bin lacks channels; the correlation of all pairs needs a dense image")
             z = (batch.column(0).flatten().to_numpy().reshape(-1, len(ids)) - mean) / scale
             total += z.T @ z
             n += len(z)
@@ -94,7 +102,7 @@ def sliding_neighbor_correlation(image: DataFrame, window: int, lag: int = 1, st
     starts = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("t") - window + 1) / step)), F.floor(F.col("t") / step))
     rows = image.withColumn("w", F.explode(F.when(F.col("t") >= 0, starts))).crossJoin(F.broadcast(last)).filter(F.col("w") <= F.col("n")).drop("n")
     z = zscore(rows.select("w", "t", "channel", "value"), "w", "channel")
-    pairs = z.withColumn("other", F.lead("value", lag).over(Window.partitionBy("w", "t").orderBy("channel")))
+    pairs = z.withColumn("other", _at_lag(lag, Window.partitionBy("w", "t").orderBy("channel")))
     return pairs.groupBy("w").agg(F.avg(F.col("value") * F.col("other")).alias("rho")).select((F.col("w") * step + window // 2).alias("center"), "rho")
 
 

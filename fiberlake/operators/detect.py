@@ -126,13 +126,15 @@ def cluster_detections(detections: DataFrame, time_tol_s: float = 5.0, channel_t
     islands = spans.withColumn("island", F.sum(joined.cast("long")).over(along)).select("hour", "part", "island")
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "us", "channel"], ascending=[False, True, True], ignore_index=True)
+        pdf = pdf.sort_values(["us", "channel"], ignore_index=True)
         us, channel = pdf["us"].to_numpy(), pdf["channel"].to_numpy()
+        first, last = np.searchsorted(us, us - tolerance), np.searchsorted(us, us + tolerance, side="right")
         left, seeds, members = np.ones(len(pdf), bool), [], []
-        for i in range(len(pdf)):
+        for i in np.argsort(-pdf["score"].to_numpy(), kind="stable"):
             if left[i]:
-                own = left & (np.abs(us - us[i]) <= tolerance) & (np.abs(channel - channel[i]) <= channel_tol)
-                left &= ~own
+                near = slice(first[i], last[i])  # an island's length does not matter
+                own = left[near] & (np.abs(channel[near] - channel[i]) <= channel_tol)
+                left[near] &= ~own
                 seeds.append(i)
                 members.append(int(own.sum()))
         return pdf.loc[seeds, ["timestamp", "channel", "score"]].assign(n_members=members)

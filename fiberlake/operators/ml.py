@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -69,3 +72,117 @@ def silhouette(rows: DataFrame, id_column: str, column: str = "features") -> Dat
     score = means.groupBy(id_column).agg(own.alias("a"), rest.alias("b"))
     value = F.when(F.col("a").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
     return score.agg(F.avg(value).alias("silhouette"))
+
+
+def silhouette_of_centres(rows: DataFrame, column: str = "features") -> float:
+    """The silhouette with squared distances, in one pass over the clusters' sums instead of all pairs; for any number of
+    rows."""
+    vectors = rows.select("cluster", array_to_vector(column).alias("__v"))
+    return ClusteringEvaluator(predictionCol="cluster", featuresCol="__v", metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(vectors)
+
+
+#: Rows of one density clustering, which compares all of them.
+MOST_ROWS = 20_000
+
+
+def density_tree(x: np.ndarray, min_samples: int) -> np.ndarray:
+    """The merges (a, b, distance, size) of single linkage by mutual reachability, from the closest on; merge k makes node
+    n + k. Two rows reach each other at the largest of their distance and of both rows' distances to their
+    min_samples-th nearest row, themselves included."""
+    n = len(x)
+    square = (x * x).sum(axis=1)
+
+    def away(i: int) -> np.ndarray:
+        return np.sqrt(np.maximum(square + square[i] - 2 * (x @ x[i]), 0))
+
+    core = np.array([np.partition(away(i), min(min_samples, n) - 1)[min(min_samples, n) - 1] for i in range(n)])
+    reach, source, out = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool)
+    now, edges = 0, []
+    for _ in range(n - 1):
+        out[now] = True
+        new = np.maximum(np.maximum(away(now), core), core[now])
+        closer = ~out & (new < reach)
+        reach[closer], source[closer] = new[closer], now
+        now = int(np.argmin(np.where(out, np.inf, reach)))
+        edges.append((reach[now], source[now], now))
+    node, size = np.arange(2 * n - 1), np.ones(2 * n - 1, np.int64)
+
+    def top(i: int) -> int:
+        while node[i] != i:
+            node[i] = node[node[i]]
+            i = node[i]
+        return i
+
+    merges = np.zeros((max(n - 1, 0), 4))
+    for k, (distance, a, b) in enumerate(sorted(edges)):
+        a, b = top(int(a)), top(int(b))
+        node[a] = node[b] = n + k
+        size[n + k] = size[a] + size[b]
+        merges[k] = a, b, distance, size[n + k]
+    return merges
+
+
+def density_clusters(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None) -> np.ndarray:
+    """The cluster of each row, -1 for noise: hierarchical density clusters (HDBSCAN), those of most excess of mass, never
+    all rows as one. Clusters are numbered by their first rows."""
+    n = len(x)
+    labels = np.full(n, -1)
+    if n < max(2, min_cluster_size):
+        return labels
+    merges = density_tree(x, min_samples or min_cluster_size)
+    sizes = np.concatenate([np.ones(n), merges[:, 3]])
+    # a cluster goes on down the tree while only one side has min_cluster_size rows
+    cluster, parent, birth, mass = {2 * n - 2: 0}, [-1], [0.0], [0.0]
+    for node in range(2 * n - 2, n - 1, -1):
+        if node not in cluster:
+            continue
+        own, (a, b, distance, _) = cluster[node], merges[node - n]
+        level, sides = 1 / max(distance, 1e-12), (int(a), int(b))
+        large = [s for s in sides if sizes[s] >= min_cluster_size]
+        mass[own] += (level - birth[own]) * (sizes[node] - (sizes[large[0]] if len(large) == 1 else 0))
+        for s in large:
+            if len(large) == 2:
+                parent.append(own)
+                birth.append(level)
+                mass.append(0.0)
+            cluster[s] = own if len(large) == 1 else len(parent) - 1
+    chosen, best = np.zeros(len(parent), bool), np.array(mass)
+    below = np.zeros(len(parent))
+    for c in range(len(parent) - 1, 0, -1):
+        chosen[c] = below[c] <= best[c]
+        best[c] = max(best[c], below[c])
+        below[parent[c]] += best[c]
+    for c in range(1, len(parent)):  # from the root down
+        above = parent[c]
+        while above > 0 and not chosen[above]:
+            above = parent[above]
+        chosen[c] &= above <= 0
+    home = np.full(2 * n - 1, -1)
+    for node in range(2 * n - 2, n - 1, -1):
+        own = cluster.get(node)
+        if own is not None and chosen[own]:
+            home[node] = own
+        for s in merges[node - n, :2].astype(int):
+            home[s] = home[node]
+            if s in cluster and chosen[cluster[s]]:
+                home[s] = cluster[s]
+    order: dict[int, int] = {}
+    for i in range(n):
+        if home[i] >= 0:
+            labels[i] = order.setdefault(int(home[i]), len(order))
+    return labels
+
+
+def hdbscan(rows: DataFrame, id_column: str, min_cluster_size: int = 5, min_samples: int | None = None, column: str = "features") -> DataFrame:
+    """rows with `cluster`, -1 for noise. It compares all rows, so a table of over MOST_ROWS is refused."""
+    n = rows.count()
+    if n > MOST_ROWS:
+        raise ValueError(f"{n} rows are too many for a comparison of all; the limit is {MOST_ROWS}")
+    kind = dict(rows.dtypes)[id_column]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_column, ignore_index=True)
+        return pd.DataFrame({id_column: pdf[id_column], "cluster": density_clusters(np.stack(pdf[column].to_numpy()).astype(float), min_cluster_size, min_samples)})
+
+    found = rows.select(id_column, column).groupBy().applyInPandas(lambda pdf: run(pdf), f"{id_column} {kind}, cluster int")
+    return rows.join(found, id_column)

@@ -72,9 +72,11 @@ def dft_power(rows: DataFrame, by: str, samples: str = "samples") -> DataFrame:
 
 def dominant_frequency(spectra: DataFrame, by: str, fmin: float = 0.0, fmax: float | None = None) -> DataFrame:
     """(by, freq): the strongest frequency within [fmin, fmax], the lowest of equals. spectra: (by, freq, power). A
-    spectrum without frequencies there has no row."""
-    inside = spectra.filter((F.col("freq") >= fmin) & (F.lit(fmax is None) | (F.col("freq") <= F.lit(fmax if fmax is not None else 0.0))))
-    return inside.groupBy(by).agg((-F.max(F.struct("power", (-F.col("freq")).alias("f")))["f"]).alias("freq"))
+    spectrum without frequencies there is an error."""
+    inside = F.col("freq").between(fmin, float("inf") if fmax is None else fmax)
+    best = F.max(F.when(inside, F.struct("power", (-F.col("freq")).alias("f"))))
+    none = F.raise_error(F.lit(f"a spectrum has no frequency within [{fmin}, {fmax}]")).cast("double")
+    return spectra.groupBy(by).agg(best.alias("best")).select(by, F.when(F.col("best").isNull(), none).otherwise(-F.col("best.f")).alias("freq"))
 
 
 def band_powers(spectra: DataFrame, by: str, edges: list[float], normalized: bool = False) -> DataFrame:

@@ -61,3 +61,11 @@ def channel_baseline(image: DataFrame) -> DataFrame:
 def describe_shares(rows: DataFrame, by: str, flag: str) -> DataFrame:
     """(by, n, share): how many rows each group has and the share that is flagged."""
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), ratio(F.sum(F.col(flag).cast("int")), F.count(F.lit(1))).alias("share"))
+
+
+def describe(rows: DataFrame, column: str, *by: str) -> DataFrame:
+    """(by, count, mean, std, min, p25, p50, p75, max) of a column: the sample deviation, quartiles by interpolation;
+    nulls do not count."""
+    q = F.percentile(column, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
+    found = rows.groupBy(*by).agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("__q"), F.max(column).alias("max"))
+    return found.select(*by, "count", "mean", "std", "min", *[F.col("__q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "max")

@@ -19,11 +19,15 @@ from ..operators import spectral as sp
 from ..operators import stats as st
 
 
+def kernel_labels(bands: list[tuple[float, float]], freqs: list[float]) -> list[str]:
+    return [f"band {a:g}-{b:g} Hz" for a, b in bands] + [f"wavelet {f:g} Hz" for f in freqs]
+
+
 def energy_images(waveform: DataFrame, fs: float, bands: list[tuple[float, float]], freqs: list[float]) -> DataFrame:
     """(label, file, file_ts, channel, value): an RMS image for each band and a wavelet image for each frequency, from a
     single pass over the samples."""
     kernels = [bandpass_kernel(fs, *b) for b in bands]
-    labels = [f"band {a:g}-{b:g} Hz" for a, b in bands] + [f"wavelet {f:g} Hz" for f in freqs]
+    labels = kernel_labels(bands, freqs)
 
     def measure(x):
         import numpy as np
@@ -39,9 +43,11 @@ def cable_offset(waveform: DataFrame, positions: DataFrame, ais: DataFrame, fs:
     """(winner, sweeps): the offset of the sweep with the flattest plateau, and all sweeps."""
     near = ai.transiting(ai.near_route(ais, positions, "ord"))
     candidates = ai.closest_reports(near, "ord").select(F.col("MMSI").alias("cand_id"), "Latitude", "Longitude", "Timestamp")
-    images = energy_images(waveform, fs, bands, freqs).withColumnsRenamed({"file_ts": "bin_time"}).withColumn("t", F.unix_micros(F.col("bin_time").cast("timestamp"))).cache()
-    labels = [r.label for r in images.select("label").distinct().orderBy("label").collect()]  # a row a kernel
-    sweeps = reduce(DataFrame.unionByName, [of.margin_sensitivity(candidates, images.filter(F.col("label") == label), positions, spacing_m, margins_m).withColumn("label", F.lit(label)) for label in labels])
+    sweeps = []
+    for band, freq in [([b], []) for b in bands] + [([], [f]) for f in freqs]:
+        image = energy_images(waveform, fs, band, freq).withColumnsRenamed({"file_ts": "bin_time"}).withColumn("t", F.unix_micros(F.col("bin_time").cast("timestamp")))
+        sweeps.append(of.margin_sensitivity(candidates, image.drop("label"), positions, spacing_m, margins_m).withColumn("label", F.lit(kernel_labels(band, freq)[0])))
+    sweeps = reduce(DataFrame.unionByName, sweeps)
     return of.offset_winner(sweeps, margins_m[-2:], expected), sweeps
 
 

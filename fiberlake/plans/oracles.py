@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from .oracles_signal import made
+
+ORACLE: dict[str, str] = made()
 
 # the stand-in tables
 E = """e AS (SELECT vec_id AS t, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS channel,
@@ -299,3 +301,23 @@ ORACLE["silhouette"] = f"""WITH {FEAT}, pd AS (SELECT x.vec_id, x.c, y.vec_id AS
 mn AS (SELECT vec_id, c, oc, avg(d) AS d FROM pd GROUP BY ALL),
 ab AS (SELECT vec_id, max(d) FILTER (c = oc) AS a, min(d) FILTER (c <> oc) AS b FROM mn GROUP BY vec_id)
 SELECT {rnd('avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette FROM ab"""
+ORACLE["describe_energy"] = f"""WITH {Q} SELECT channel, count(*) AS count, {rnd('avg(value)')} AS mean, {rnd('stddev_samp(value)')} AS std, {rnd('min(value)')} AS min,
+  {', '.join(f"{rnd(f'quantile_cont(value, {p / 100})')} AS p{p}" for p in (25, 50, 75))}, {rnd('max(value)')} AS max FROM q GROUP BY channel"""
+#: The two largest principal axes by power iteration on the covariance, the first taken out for the second.
+_POWER = """{0} AS (SELECT 0 AS i, list_transform(range(1, 8), lambda k: 1.0 / k) AS v
+  UNION ALL SELECT i + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT i, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM {0}, {1} WHERE i < 600)),
+{0}v AS (SELECT v FROM {0} WHERE i = 600)"""
+ORACLE["feature_pca"] = f"""WITH RECURSIVE {FEAT}, cv AS (SELECT a.k AS i, b.k AS j, covar_samp(a.v, b.v) AS c FROM fz a JOIN fz b USING (vec_id) GROUP BY ALL),
+m1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cv GROUP BY i)),
+{_POWER.format('p1', 'm1')},
+ev AS (SELECT v, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS l FROM p1v, m1),
+m2 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c - l * v[i + 1] * v[j + 1] ORDER BY j) AS r FROM cv, ev GROUP BY i)),
+{_POWER.format('p2', 'm2')},
+xs AS (SELECT vec_id, list(v ORDER BY k) AS x FROM fz GROUP BY vec_id)
+SELECT vec_id, {rnd('abs(list_dot_product(x, p1v.v))', 5)} AS pc1, {rnd('abs(list_dot_product(x, p2v.v))', 5)} AS pc2 FROM xs, p1v, p2v"""
+ORACLE["reports_csv"] = f"WITH {A} SELECT epoch_us(date_trunc('second', ts)) AS timestamp, kind, mmsi AS MMSI, {rnd('lat', 9)} AS Latitude, {rnd('lon', 9)} AS Longitude, {rnd('sog', 9)} AS SOG FROM a"
+ORACLE["cable_json"] = f"WITH {P} SELECT pos, channel_id, {rnd('lat', 9)} AS lat, {rnd('lon', 9)} AS lon, CAST(-12.5 AS DOUBLE) AS depth, CAST(400 AS DOUBLE) AS fs FROM p"
+ORACLE["results_csv"] = ORACLE["benchmark_detections"]
+ORACLE["offset_json"] = f"WITH {_offsets('[80]')} SELECT {rnd('dlat', 4)} AS dlat_m, {rnd('dlon', 4)} AS dlon_m, 'band' AS label, {rnd(_LENGTH, 4)} AS dist_m, (SELECT count(*) FROM of1) AS n_candidates FROM md"
+ORACLE["image_cache"] = f"WITH {E} SELECT t // 50 AS file, channel, {rnd(_REDUCE['rms'])} AS value, 1 AS computed FROM e GROUP BY ALL"
+ORACLE["npy_files"] = f"WITH {E} SELECT epoch_us(TIMESTAMP '2024-01-01 00:00:00') + (t // 8) * 1000000 AS at, CAST(t % 8 AS INTEGER) AS channel, channel AS i, {rnd('value')} AS y FROM e WHERE t % 8 IN (0, 3, 7)"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ from ..operators import stats as st
 from ..operators import transforms as tr
 from ..sources import files as fi
 from ..sources import records as rec
+from ..sources.cache import cached
+from ..sources.npy import decode_files
+from ..sources.scratch import scratch
 from . import stand_ins as s
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -605,14 +610,16 @@ def label_crosstab(spark, sf):
     return s.table(spark, sf, "embeddings").select("vec_id", "label").join(loud, "vec_id").groupBy("label", "third").count()
 
 
-# filters and kernels, which SQL can't express; tests hold them against direct formulas
+# filters and kernels
 
 
-def _kernel(make) -> Query:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return s.signals(spark, sf).select("vec_id", rounded_array("y").alias("y")) if make is None else s.signals(spark, sf).select("vec_id", make(F.col("samples")).alias("y")).select("vec_id", rounded_array("y").alias("y"))
+def _samples(rows: DataFrame, column: str, *keys: str) -> DataFrame:
+    """A row for each sample of an array column."""
+    return rounded(rows.select(*keys, F.posexplode(column).alias("i", "y")))
 
-    return run
+
+def _kernel(make) -> Query:
+    return lambda spark, sf: _samples(s.signals(spark, sf).select("vec_id", make(F.col("samples")).alias("y")), "y", "vec_id")
 
 
 QUERIES |= {
@@ -627,7 +634,7 @@ QUERIES |= {
 
 @query
 def bandpass_trimmed(spark, sf):
-    return de.bandpass_trimmed(s.waveform(spark, sf), 16.0, (1.0, 5.0)).select("file", "channel", rounded_array("samples").alias("y"))
+    return _samples(de.bandpass_trimmed(s.waveform(spark, sf), 16.0, (1.0, 5.0)), "samples", "file", "channel")
 
 
 @query
@@ -696,24 +703,23 @@ def context_window_persistent(spark, sf):
 
 
 def _selector(spark: SparkSession, sf: str) -> se.TargetSelector:
-    return se.TargetSelector.of(_noise(spark, sf), ch.correlation_matrix(s.image(spark, sf)))
+    return se.TargetSelector(_noise(spark, sf), ch.correlation_matrix(s.image(spark, sf)))
 
 
 @query
 def greedy_decorrelated(spark, sf):
     t = _selector(spark, sf)
-    kept = se.greedy_decorrelated(t.corr[np.ix_(t.ranked, t.ranked)], t.ranked, 0.1, 2)
-    return spark.createDataFrame([(i, int(c)) for i, c in enumerate(kept)], "place int, channel int")
+    return se.decorrelated(t.candidates, t.correlation, 0.1, 2)
 
 
 @query
 def target_select(spark, sf):
-    return spark.createDataFrame([(int(c),) for c in _selector(spark, sf).select(4, 12, 0.15, 10)], "channel int")
+    return _selector(spark, sf).select(4, 12, 0.15, 10)
 
 
 @query
 def target_plan(spark, sf):
-    return spark.createDataFrame([(t, int(c)) for t, cols in _selector(spark, sf).plan(4, min_sep=4, max_sep=12, max_corr=0.15) for c in cols], "target int, channel int")
+    return _flat(_selector(spark, sf).plan(4, min_sep=4, max_sep=12, max_corr=0.15))
 
 
 # augmentations; the parameters of the first are written out, so that SQL can follow
@@ -722,7 +728,7 @@ def target_plan(spark, sf):
 @query
 def gain_by_table(spark, sf):
     gains = np.array([0.8 + 0.4 * ((c * 37) % 64) / 64 for c in range(64)])
-    table = au._table(s.image(spark, sf), {"gain": gains}, "gain double")
+    table = au.channel_table(s.image(spark, sf), {"gain": gains}, "gain double")
     return rounded(s.image(spark, sf).join(table, "channel").withColumn("value", F.col("value") * F.col("gain")).drop("gain"))
 
 
@@ -792,6 +798,80 @@ def annotations_json_round_trip(spark, sf):
     return back.select(F.col("file").cast("long").alias("file"), "channel", rnd("distance_m", 1).alias("distance_m"))
 
 
+@query
+def reports_csv(spark, sf):
+    """Ship reports written as CSV in the form they are published in, and read again."""
+    path, columns = scratch(spark, "reports"), ["MMSI", "Latitude", "Longitude", "SOG"]
+    rows = s.ais(spark, sf).select(F.date_format("Timestamp", "dd/MM/yyyy HH:mm:ss").alias("# Timestamp"), "Type of mobile", *columns)
+    rows.write.option("header", True).csv(path)
+    back = rec.read_reports(spark, path)
+    return back.select(_timestamp("Timestamp"), F.col("Type of mobile").alias("kind"), *[rnd(c, 9).alias(c) if c != "MMSI" else F.col(c) for c in columns])
+
+
+@query
+def cable_json(spark, sf):
+    """The cable as one JSON document, read again."""
+    path = scratch(spark, "cable")
+    place = F.struct("lat", "lon", F.lit(-12.5).alias("depth"))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("channel_id").cast("string"), place)))
+    s.positions(spark, sf).agg(F.to_json(F.struct(entries.alias("positions"), F.create_map(F.lit("fs"), F.lit(400.0)).alias("metadata")))).write.text(path)
+    rows, meta = rec.read_cable(spark, path)
+    fs = meta.select(F.col("value").alias("fs"))
+    return rows.crossJoin(fs).select("pos", "channel_id", rnd("lat", 9).alias("lat"), rnd("lon", 9).alias("lon"), "depth", "fs")
+
+
+@query
+def results_csv(spark, sf):
+    """A result table as CSV, read again."""
+    path = scratch(spark, "results")
+    rec.write_table(benchmark_detections(spark, sf), path)
+    return spark.read.option("header", True).schema("range_m double, tp long, fp long, tn long, fn long, accuracy double, precision double, recall double, f1 double").csv(path)
+
+
+@query
+def offset_json(spark, sf):
+    """The offset of the cable as JSON, read again."""
+    path, sweep = scratch(spark, "offset"), _offsets(spark, sf, [80.0])
+    found = of.estimate_translation(sweep).crossJoin(sweep.agg(F.count(F.lit(1)).alias("n_candidates")))
+    rec.write_offset(found.select("dlat_m", "dlon_m", F.lit("band").alias("label"), "dist_m", "n_candidates"), path)
+    return rounded(rec.read_offset(spark, path), 4)
+
+
+@query
+def image_cache(spark, sf):
+    """An image that is computed once and read from its files the second time."""
+    path, calls = scratch(spark, "image"), []
+
+    def make() -> DataFrame:
+        calls.append(1)
+        return im.reduce_rows(s.image(spark, sf).withColumn("file", F.floor(F.col("t") / s.FILE)), "rms", "file", "channel")
+
+    files = s.image(spark, sf).groupBy(F.floor(F.col("t") / s.FILE).cast("string").alias("file")).agg(F.count(F.lit(1)).alias("size"))
+    cached(spark, path, "rms", files, make)
+    again = cached(spark, path, "rms", files, make)
+    return rounded(again).withColumn("computed", F.lit(len(calls)))
+
+
+@query
+def npy_files(spark, sf):
+    """Files of .npy bytes, a vector's 64 samples of a channel and eight channels a file, decoded."""
+
+    @F.arrow_udf("binary")
+    def save(files: pa.Array) -> pa.Array:
+        out = []
+        for rows in files.to_pylist():
+            buffer = io.BytesIO()
+            np.save(buffer, np.stack([np.asarray(r, float) for r in rows], axis=1))
+            out.append(buffer.getvalue())
+        return pa.array(out, pa.binary())
+
+    wave = s.waveform(spark, sf).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("channel", "samples"))).alias("rows"))
+    number = F.substring("file", 2, 6).cast("int")
+    clock = F.concat(*[F.lpad((F.floor(number / d) % m).cast("string"), 2, "0") for d, m in ((3600, 24), (60, 60), (1, 60))])
+    files = wave.select(F.concat(F.lit("/raw/"), clock, F.lit(".npy")).alias("path"), save(F.col("rows.samples")).alias("content"))
+    return _samples(decode_files(files, "2024-01-01", [0, 3, 7]).withColumn("at", F.unix_micros(F.col("file_ts").cast("timestamp"))), "samples", "at", "channel")
+
+
 # windows over events
 
 
@@ -828,7 +908,8 @@ def standard_features(spark, sf):
 
 @query
 def feature_pca(spark, sf):
-    return ml.pca(_features(spark, sf), 2).select("vec_id", F.transform("components", lambda x: F.round(F.abs(x), 5)).alias("components"))
+    parts = ml.pca(_features(spark, sf), 2).select("vec_id", *[F.abs(F.col("components")[i]).alias(f"pc{i + 1}") for i in range(2)])
+    return rounded(parts, 5)
 
 
 @query
@@ -836,6 +917,16 @@ def feature_kmeans(spark, sf):
     return ml.kmeans(_features(spark, sf), 2).select("vec_id", "cluster")
 
 
+@query
+def feature_hdbscan(spark, sf):
+    return ml.hdbscan(_features(spark, sf), "vec_id", 5).select("vec_id", "cluster")
+
+
+@query
+def describe_energy(spark, sf):
+    return rounded(st.describe(s.energy(spark, sf), "value", "channel"))
+
+
 @query
 def davies_bouldin(spark, sf):
     return rounded(ml.davies_bouldin(_clustered(spark, sf)))

@@ -53,9 +53,18 @@ def test_filtfilt_gain_and_phase():
         k.filtfilt(sos, x[:, :20])
 
 
+def test_blocks_filter_as_single_samples_do():
+    rng = np.random.default_rng(3)
+    for band, kind in (((1.0, 20.0), "bandpass"), (0.5, "lowpass"), ((49.0, 51.0), "bandstop")):
+        sos, x, states = k.butterworth(4, band, kind, FS), rng.standard_normal((5, 1000)), rng.standard_normal((5, 8))[:, : 2 * len(k.butterworth(4, band, kind, FS))]
+        want = k._sample_by_sample(sos, x, states)[0]
+        got = k.sos_filter(sos, x, states.T.reshape(len(sos), 2, 5))
+        assert np.allclose(got, want, atol=1e-8 * np.abs(want).max())
+
+
 def test_steady_state():
     sos = k.butterworth(3, 30.0, "lowpass", FS)
-    y = k.sos_filter(sos, np.ones((1, 50)), k._steady_state(sos)[:, :, None] * np.ones(1))
+    y = k.sos_filter(sos, np.ones((1, 50)), k.steady_state(sos)[:, :, None] * np.ones(1))
     assert np.allclose(y, 1.0)
 
 
@@ -94,6 +103,7 @@ def test_filters_on_columns(spark):
 def test_band_powers_and_dominant(spark):
     psd = spark.createDataFrame([(1, float(f), float(f % 7)) for f in range(40)], "id int, freq double, power double")
     assert sp.dominant_frequency(psd, "id", 5, 30).first().freq == 6.0
-    assert sp.dominant_frequency(psd, "id", 100).count() == 0
+    with pytest.raises(Exception, match="no frequency within"):
+        sp.dominant_frequency(psd, "id", 100).collect()
     bands = {r.band: r.power for r in sp.band_powers(psd, "id", [0, 10, 20, 100, 200]).collect()}
     assert bands == {0: sum(f % 7 for f in range(10)), 1: sum(f % 7 for f in range(10, 20)), 2: sum(f % 7 for f in range(20, 40)), 3: 0.0}

@@ -13,7 +13,7 @@ from fiberlake.operators import augment as au
 from fiberlake.operators import channels as ch
 from fiberlake.operators import detect as de
 from fiberlake.operators import evaluate as ev
-from fiberlake.operators import geo
+from fiberlake.operators import geo, ml
 from fiberlake.operators import image as im
 from fiberlake.operators import offset as of
 from fiberlake.operators import quality as qu
@@ -315,22 +315,56 @@ def test_selection(spark):
     assert se.greedy_decorrelated(corr, np.arange(4), min_sep=3).tolist() == [0, 3]
     rng = np.random.default_rng(8)
     noise = rng.random(100)
-    t = se.TargetSelector(noise, np.eye(100))
-    chosen = t.select(min_sep=5, max_sep=30)
+    none = spark.createDataFrame([], "i int, j int, rho double")
+
+    def table(scores):
+        return spark.createDataFrame([(i, float(v)) for i, v in enumerate(scores)], "channel int, noise double")
+
+    def channels(df):
+        return sorted(r.channel for r in df.collect())
+
+    pairs = spark.createDataFrame([(i, j, float(corr[i, j])) for i in range(4) for j in range(4)], "i int, j int, rho double")
+    best = se.decorrelated(table([4, 3, 2, 1]), pairs).orderBy("place")
+    assert [r.channel for r in best.collect()] == [0, 2, 3]
+    assert [r.channel for r in se.decorrelated(table([1, 2, 2, 1]), pairs, min_sep=2).orderBy("place").collect()] == [1, 3]
+    t = se.TargetSelector(table(noise), none)
+    chosen = channels(t.select(min_sep=5, max_sep=30))
     assert np.diff(chosen).min() >= 5 and np.diff(chosen).max() <= 30
     ends = np.zeros(100)
     ends[[0, 99]] = 1
-    filled = se.TargetSelector(ends, np.eye(100), np.array([0, 99])).select(min_sep=0, max_sep=25)
+    filled = channels(se.TargetSelector(table(ends), none, [0, 99]).select(min_sep=0, max_sep=25))
     assert filled[0] == 0 and filled[-1] == 99 and np.diff(filled).max() <= 25
-    assert len(t.select(max_count=7)) == 7 and t.select(min_noise=2.0).tolist() == []
-    plan = t.plan(4, min_sep=20, min_noise=0.5)
-    assert all(target in cols and all(noise[c] >= 0.5 or c == target for c in cols) for target, cols in plan)
+    assert t.select(max_count=7).count() == 7 and t.select(min_noise=2.0).count() == 0
+    assert t.noise_of(3) == noise[3] and t.noise_of(100) is None and se.TargetSelector(table(noise), pairs).correlation_between(0, 1) == 0.95
+    plan = t.plan(4, min_sep=20, min_noise=0.5).collect()
+    assert plan and all(r.target in r.cols and all(noise[c] >= 0.5 or c == r.target for c in r.cols) for r in plan)
     with pytest.raises(ValueError):
         t.select(min_sep=5, max_sep=2)
     targets = spark.createDataFrame([(2,), (98,)], "target int")
+    got = {r.target: r.cols for r in se.context_window(targets, table(noise), 3, 0.5).collect()}
+    assert got == {c: [i for i in range(max(0, c - 3), min(100, c + 4)) if noise[i] >= 0.5 or i == c] for c in (2, 98)}
+    assert t.context_window(98, 3, 0.5).first().cols == got[98]
+
+
+@pytest.mark.parametrize("levels, min_sep, max_sep", [(1000, 3, 10), (3, 3, 10), (1, 0, 7), (4, 0, 3)])
+def test_gaps_are_filled_one_best_channel_after_another(spark, levels, min_sep, max_sep):
+    rng = np.random.default_rng(levels)
+    noise = rng.integers(0, levels, 120) / 10
+    ends = [2, 5, 60, 61, 119]
+
+    def inside(low, high):
+        """One gap at a time, by the definition."""
+        step = max(min_sep, 1)
+        fits = [c for c in range(low + step, high - step + 1) if noise[c] >= 0.1 or levels == 1]
+        if high - low <= max_sep or not fits:
+            return []
+        best = min(fits, key=lambda c: (-noise[c], abs(c - (low + high) // 2), c))
+        return [*inside(low, best), best, *inside(best, high)]
+
+    want = sorted(ends + [c for low, high in zip(ends, ends[1:]) for c in inside(low, high)])
     table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(noise)], "channel int, noise double")
-    got = {r.target: r.cols for r in se.context_window(targets, table, 3, 0.5).collect()}
-    assert got == {c: t.context_window(c, 3, 0.5).tolist() for c in (2, 98)}
+    chosen = spark.createDataFrame([(c,) for c in ends], "channel int")
+    assert sorted(r.channel for r in se.filled(chosen, table, max_sep, min_sep, 0.0 if levels == 1 else 0.1).collect()) == want
 
 
 def test_augmentations(spark):
@@ -359,6 +393,49 @@ def test_augmentations(spark):
     assert not np.allclose(matrix(au.random_augment(df, 64.0, 1e-9, 1)), x) and np.allclose(matrix(au.mixup(df, 0.0, 1)), x)
 
 
+def test_density_clusters(spark):
+    rng = np.random.default_rng(12)
+    blobs = np.concatenate([rng.normal(c, 0.1, (40, 2)) for c in ((0, 0), (3, 0), (0, 4))])
+    labels = ml.density_clusters(np.concatenate([blobs, [[9.0, 9.0], [-9.0, 5.0]]]))
+    assert (labels[120:] == -1).all()
+    for i in range(3):
+        own = labels[40 * i : 40 * i + 40]
+        assert (own == i).sum() > 30 and set(own.tolist()) <= {i, -1}
+    # single linkage by mutual reachability, against all paths
+    x = rng.random((25, 2))
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, 4]
+    reach = np.maximum(np.maximum(d, core), core[:, None])
+    for k in range(25):
+        reach = np.minimum(reach, np.maximum(reach[:, k : k + 1], reach[k : k + 1]))  # least largest step of a path
+    tops, sets = {i: [i] for i in range(25)}, []
+    for k, (a, b, distance, size) in enumerate(ml.density_tree(x, 5)):
+        left, right = tops[int(a)], tops[int(b)]
+        assert np.allclose(reach[np.ix_(left, right)], distance) and size == len(left) + len(right)
+        tops[25 + k] = left + right
+        sets.append(size)
+    assert sets[-1] == 25
+    assert ml.density_clusters(np.zeros((3, 2))).tolist() == [-1] * 3 and ml.density_clusters(np.zeros((0, 2))).tolist() == []
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(blobs)], "id int, features array<double>").repartition(3)
+    found = ml.hdbscan(df, "id")
+    assert {r.id: r.cluster for r in found.collect()} == dict(enumerate(ml.density_clusters(blobs).tolist()))
+    assert ml.silhouette_of_centres(found.filter("cluster >= 0")) > 0.9
+
+
+def test_describe_and_missing_channels(spark):
+    x = np.random.default_rng(13).random((50, 4))
+    row = st.describe(image(spark, x).withColumn("value", F.when(F.col("t") > 0, F.col("value"))), "value").first()
+    v = x[1:].ravel()
+    assert row["count"] == len(v) and np.allclose([row.mean, row.std, row.min, row.p25, row.p50, row.p75, row.max], [v.mean(), v.std(ddof=1), v.min(), *np.quantile(v, [0.25, 0.5, 0.75]), v.max()])
+    gap = image(spark, x).filter("channel <> 1 or t >= 25")
+    got = {r.lag: r.rho for r in ch.neighbor_correlation(gap, 2).collect()}
+    z = {c: (x[25 * (c == 1) :, c] - x[25 * (c == 1) :, c].mean()) / x[25 * (c == 1) :, c].std() for c in range(4)}
+    pairs = {lag: np.concatenate([z[c][-min(len(z[c]), len(z[c + lag])) :] * z[c + lag][-min(len(z[c]), len(z[c + lag])) :] for c in range(4 - lag)]) for lag in (1, 2)}
+    assert all(abs(got[lag] - pairs[lag].mean()) < 1e-9 for lag in (1, 2))
+    with pytest.raises(Exception, match="dense image"):
+        ch.correlation_matrix(gap).collect()
+
+
 def test_quantiles_of_large_groups(spark):
     from fiberlake.operators import quantiles as qt
 
