@@ -2,16 +2,22 @@
 
 A bounded sample of the vectors is joined to its nearest neighbours; the graph is cut into balanced partitions by
 recursive bisection; a small classifier learns, for each vector of the sample, how its neighbours spread over the
-partitions. Every row is indexed in its most probable partition. A query goes to its several most probable partitions,
-as many as held-out queries of the sample need for the target recall, and all rows there are ranked by exact distance.
-A query that finds fewer than k rows there searches all partitions.
+partitions. Every vector is indexed in its most probable partition. A query goes to its several most probable
+partitions, as many as held-out queries of the sample need for the target recall, and all vectors there are ranked by
+exact distance. A query that finds fewer than k rows there searches all partitions.
 
-Large partitions are split into blocks of at most BLOCK rows and the queries into blocks of QUERIES, so that a task holds
-one block of each.
+A model has MAX_PARTITIONS partitions at most. While those would hold over 2 * ROWS_A_PARTITION vectors, each is cut again
+by a model of its own, fitted on a bounded sample of its vectors, so that a partition's size does not grow with the
+table. The root's model is broadcast; the others are a table, which vectors and queries meet by partition.
+
+Equal vectors are one vector of the index with their k + 1 smallest ids, which is all that k neighbours can need, and
+equal queries are searched once, so that a vector that a third of all rows share is no crowded partition. A partition is
+searched in blocks of at most BLOCK vectors: a block is held and its queries stream by, so no vector is sent twice.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import partitions, stored, table
 
-#: Vectors that the graph and the classifier are fitted on; a bounded sample by design.
+#: Vectors that a graph and a classifier are fitted on; a bounded sample by design.
 SAMPLE = 6144
 HELD_OUT = 512
-#: Rows of the index that a partition has on average, while there are at most MAX_PARTITIONS.
-ROWS_A_PARTITION = 2048
+#: Vectors that a partition has on average; small tables have partitions of LEAF times the square root of their size.
+ROWS_A_PARTITION, LEAF = 2048, 8
 MAX_PARTITIONS = 64
-BLOCK, QUERIES = 8192, 512
+BLOCK = 8192
+#: Vectors that a task takes through one model.
+ROUTED = 65536
 
 
 def neighbours(x: np.ndarray, of: np.ndarray, k: int, same: bool) -> np.ndarray:
@@ -129,13 +137,24 @@ class Model:
         return np.argsort(-self.classifier.scores(x), axis=1, kind="stable")
 
 
+def levels_of(rows: int) -> int:
+    """How many models lead from the root to a partition."""
+    n, left = 1, rows / MAX_PARTITIONS
+    while left > 2 * ROWS_A_PARTITION:
+        n, left = n + 1, left / MAX_PARTITIONS
+    return n
+
+
 def fit(sample: np.ndarray, rows: int, k: int = 10, recall: float = 0.97, seed: int = 7) -> Model:
-    """The model of a sample, for an index of so many rows. Equal vectors count once. Small or uniform data get a single
-    partition, which is exact search."""
+    """The model of a sample, for an index of so many vectors. Equal vectors count once. A handful of vectors gets a
+    single partition, which is exact search."""
     rng = np.random.default_rng(seed)
     sample = np.unique(sample, axis=0) if len(sample) else sample
-    parts = 1 << max(0, min(MAX_PARTITIONS.bit_length() - 1, int(np.log2(max(1, rows / ROWS_A_PARTITION)))))
-    if parts == 1 or len(sample) < 32 * parts:
+    leaf = min(ROWS_A_PARTITION, LEAF * max(rows, 1) ** 0.5)
+    parts = 1 << int(np.clip(np.round(np.log2(max(1.0, rows / leaf))), 0, MAX_PARTITIONS.bit_length() - 1))
+    while parts > 1 and len(sample) < 32 * parts:
+        parts //= 2
+    if parts == 1:
         return Model(1, 1, None)
     sample = sample[rng.permutation(len(sample))]
     held, x = sample[: min(HELD_OUT, len(sample) // 8)], sample[min(HELD_OUT, len(sample) // 8) :]
@@ -146,7 +165,7 @@ def fit(sample: np.ndarray, rows: int, k: int = 10, recall: float = 0.97, seed:
         np.add.at(goal, (np.arange(len(x)), label[near[:, j]]), 1 / (k + 1))
     goal[np.arange(len(x)), label] += 1 / (k + 1)
     classifier = Classifier(x, goal, rng)
-    # rows are indexed where the classifier puts them, so recall is measured there
+    # vectors are indexed where the classifier puts them, so recall is measured there
     own = np.argmax(classifier.scores(x), axis=1)
     want = own[neighbours(x, held, k, False)]
     order = np.argsort(-classifier.scores(held), axis=1, kind="stable")
@@ -166,6 +185,43 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     return clean.filter(F.size("v") == (sizes[0].n if sizes else 0))
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(rows, -1) if rows else np.zeros((0, 0))
+
+
+def _deeper(index: DataFrame, k: int, recall: float) -> DataFrame:
+    """(part, model): a model for each partition that is to be cut again, fitted on a sample of its vectors."""
+    sizes = index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * ROWS_A_PARTITION)
+    share = F.lit(float(1 << 52)) * F.lit(SAMPLE) / F.col("n")
+    sample = index.join(F.broadcast(sizes), "part").filter(F.shiftrightunsigned(F.xxhash64(F.lit(1), "v"), 12) < share)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        model = fit(np.stack(pdf["v"].to_numpy()), int(pdf["n"].iloc[0]), k, recall)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "model": [pickle.dumps(model)]})
+
+    return stored(sample.groupBy("part").applyInPandas(lambda pdf: run(pdf), "part long, model binary"))
+
+
+def _through(rows: DataFrame, models: DataFrame, every: bool) -> DataFrame:
+    """rows (part, v, ..) with part at the next level: the most probable one, or with `every` a row for each that a query
+    searches. Rows of large partitions are dealt out."""
+    deals = models.join(rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / ROUTED).cast("int").alias("deals")), "part").select("part", "deals")
+    dealt = rows.join(F.broadcast(deals), "part", "left").withColumn("deal", F.pmod(F.xxhash64("v"), F.coalesce("deals", F.lit(1))).cast("int")).drop("deals")
+    copies = models.join(F.broadcast(deals), "part").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.drop(columns="deal")
+        if not len(left) or not len(right):
+            return left.assign(part=left["part"] * MAX_PARTITIONS)
+        model = pickle.loads(right["model"].iloc[0])
+        ranked = model.ranked(np.stack(left["v"].to_numpy()))[:, : model.probes if every else 1]
+        out = left.loc[left.index.repeat(ranked.shape[1])]
+        return out.assign(part=out["part"].to_numpy() * MAX_PARTITIONS + ranked.ravel())
+
+    return dealt.groupBy("part", "deal").cogroup(copies.groupBy("part", "deal")).applyInPandas(run, rows.schema)
+
+
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_column: str = "vec_id", column: str = "embedding", recall: float = 0.97) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row that is_query (over `id`) selects, by
     Euclidean distance in double precision, ties to the smaller id. Rows with the query's own id are no candidates.
@@ -174,61 +230,87 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, id_column: str
     at their smallest distance. An empty table gives an empty table.
     """
     clean = usable(vectors, id_column, column)
-    rows = clean.count()
-    picked = clean.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()
-    model = fit(np.array([r[0] for r in picked], float), rows, k, recall)
+    # Spark keeps the k + 1 first rows of a group before it shuffles
+    first = clean.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
+    classes = stored(first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    rows = classes.count()
+    picked = classes.orderBy(F.xxhash64("v"), "v").select("v").limit(SAMPLE).collect()
+    levels = levels_of(rows)
+    each = recall ** (1 / levels)
+    model = fit(np.array([r[0] for r in picked], float), rows, k, each)
     shared = clean.sparkSession.sparkContext.broadcast(model)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            ranked = m.ranked(flat.reshape(batch.num_rows, -1)) if batch.num_rows else np.zeros((0, 1), np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ranked) + 1) * ranked.shape[1], pa.int32()), pa.array(ranked.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "v", "ranked"])
-
-    index = stored(clean.mapInArrow(place, "id long, v array<double>, ranked array<int>").withColumn("part", F.col("ranked")[0]))
-    queries = index.filter(is_query)
-    found = _search(index, queries.withColumn("parts", F.slice("ranked", 1, model.probes)), k)
-    if model.probes < model.parts:
-        found = stored(found)
-        short = queries.join(found.groupBy("query_id").count().filter(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti")
-        again = _search(index, short.withColumn("parts", F.col("ranked")), k)
-        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
-    return found.select("query_id", "rank", "vec_id", "score")
-
-
-def _search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    asked = queries.select(F.col("id").alias("query_id"), F.col("v").alias("goal"), F.explode("parts").alias("in_part"))
-    asked = asked.withColumnRenamed("in_part", "part")
-    counts = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("query_blocks"))
-    plan = sizes.join(counts, "part")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = index.select("id", "v", "part").join(plan, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("query_block", every("query_blocks"))
-    asked = asked.join(plan, "part").withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int")).withColumn("block", every("blocks"))
-    keys = ["part", "block", "query_block"]
-
-    def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x, ids = np.stack(left["v"].to_numpy()), left["id"].to_numpy()
-            for q, v in zip(right["query_id"], right["goal"], strict=True):
-                d = np.sqrt(((x - v) ** 2).sum(axis=1))
-                d[ids == q] = np.inf
-                m = min(k, len(d))
-                edge = np.partition(d, m - 1)[m - 1]
-                own = np.flatnonzero((d <= edge) & (d < np.inf))
-                own = own[np.lexsort((ids[own], d[own]))][:m]
-                out.append((np.full(len(own), q), ids[own], d[own]))
-        if not out:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    near = rows.select(*keys, "id", "v").groupBy(*keys).cogroup(asked.select(*keys, "query_id", "goal").groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
-    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    @F.arrow_udf("array<long>")
+    def ranked(v: pa.Array) -> pa.Array:
+        found = shared.value.ranked(_matrix(v, len(v)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel().astype(np.int64)))
+
+    index = stored(classes.withColumn("part", ranked("v")[0]))
+    goals = stored(clean.filter(is_query).select("v").distinct().withColumn("ranked", ranked("v")).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), "v")}))
+    asked = goals.select("h", "g", "v", F.explode(F.slice("ranked", 1, model.probes)).alias("part"))
+    whole = model.probes == model.parts
+    for _ in range(levels - 1):
+        models = _deeper(index, k, each)
+        index, asked, whole = stored(_through(index, models, False)), _through(asked, models, True), False
+    found = stored(_search(index, asked, k))
+    if not whole:
+        enough = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k).select("h", "g")
+        short = stored(goals.join(enough, ["h", "g"], "left_anti").select("h", "g", "v"))
+        if not short.isEmpty():
+            every = index.select("part").distinct()  # few queries, each to every partition by design
+            again = _search(index, short.crossJoin(every), k)
+            found = found.join(short.select("h", "g"), ["h", "g"], "left_anti").unionByName(again)
+    own = clean.filter(is_query).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g"))
+    near = own.join(found, ["h", "g"]).filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(h, g, vec_id, score): the k + 1 nearest ids to each query vector (h, g, v, part) among those of its partitions."""
+    blocks = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    none = F.lit(None).cast("array<long>")
+    held = index.join(blocks, "part").select("part", F.pmod(F.xxhash64(F.lit(2), "v"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"), "v", "ids")
+    goals = asked.join(blocks, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "h", "g", "v", none.alias("ids"))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of part, block and kind: a block's vectors and then its queries."""
+        now, x, ids, owner = None, [], [], []
+        ready = False
+        for batch in batches:
+            part, block, kind, h, g = (batch.column(i).to_numpy() for i in range(5))
+            vectors = _matrix(batch.column(5), batch.num_rows)
+            out: list[list] = [[], [], [], []]
+            edges = np.flatnonzero(np.concatenate([[True], (np.diff(part) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0), [True]])[: batch.num_rows + 1])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if (part[a], block[a]) != now:
+                    now, x, ids, owner, ready = (part[a], block[a]), [], [], [], False
+                if kind[a] == 0:
+                    lists = batch.column(6).slice(a, b - a)
+                    base = sum(map(len, x))
+                    x.append(vectors[a:b])
+                    ids.append(lists.flatten().to_numpy())
+                    owner.append(base + np.repeat(np.arange(b - a), lists.value_lengths().to_numpy()))
+                    continue
+                if not x:
+                    continue
+                if not ready:
+                    x, ids, owner, ready = [np.concatenate(x)], [np.concatenate(ids)], [np.concatenate(owner)], True
+                m = min(k + 1, len(x[0]))
+                for q in range(a, b):
+                    d = np.sqrt(((x[0] - vectors[q]) ** 2).sum(axis=1))
+                    edge = np.partition(d, m - 1)[m - 1]
+                    own = np.flatnonzero(d[owner[0]] <= edge)
+                    own = own[np.lexsort((ids[0][own], d[owner[0][own]]))][: k + 1]
+                    for column, values in zip(out, (np.full(len(own), h[q]), np.full(len(own), g[q]), ids[0][own], d[owner[0][own]]), strict=True):
+                        column.append(values)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h", "g", "vec_id", "score"])
+
+    dealt = held.unionByName(goals).repartition(partitions(index.sparkSession), "part", "block").sortWithinPartitions("part", "block", "kind")
+    near = dealt.mapInArrow(rank, "h long, g long, vec_id long, score double").groupBy("h", "g", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("h", "g").orderBy("score", "vec_id")
+    return near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,13 +19,17 @@ def frame(spark, ids, x):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 
-@pytest.mark.parametrize("sf", ["sf0.1"])
-def test_recall_against_brute_force(spark, sf, monkeypatch):
-    monkeypatch.setattr(ann, "ROWS_A_PARTITION", 128)
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_against_brute_force(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     data = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
-    got = ann.nearest(df, F.col("id") % 20 == 0).collect()
-    want = brute(list(data), list(data.values()), [i for i in data if i % 20 == 0])
+    assert ann.fit(np.array(list(data.values())), len(data)).parts > 1
+    assert recall(data, ann.nearest(df, F.col("id") % 20 == 0).collect(), 20) >= 0.9
+
+
+def recall(data, got, step):
+    """Of the ten nearest; scores, ranks and their order must be exact."""
+    want = brute(list(data), list(data.values()), [i for i in data if i % step == 0])
     hits = total = 0
     for q, near in want.items():
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
@@ -34,7 +38,19 @@ def test_recall_against_brute_force(spark, sf, monkeypatch):
         assert all(abs(r.score - np.sqrt(((data[r.vec_id] - data[q]) ** 2).sum())) < 1e-12 for r in mine)
         hits += len({r.vec_id for r in mine} & {i for _, i in near})
         total += 10
-    assert hits / total >= 0.9
+    return hits / total
+
+
+def test_partitions_are_cut_again(spark, monkeypatch):
+    for name, value in (("ROWS_A_PARTITION", 64), ("MAX_PARTITIONS", 8), ("ROUTED", 100)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((60, 16)) * 3)[rng.integers(60, size=4000)] + rng.standard_normal((4000, 16))
+    x[1000:2200] = x[7]  # a third of all rows are one vector
+    assert ann.levels_of(2800) == 2
+    data = dict(enumerate(x.astype(np.float32).astype(float)))
+    df = frame(spark, list(data), list(data.values())).repartition(5)
+    assert recall(data, ann.nearest(df, F.col("id") % 40 == 0).collect(), 40) >= 0.9
 
 
 def test_model_uses_few_of_many_partitions():
@@ -59,7 +75,6 @@ def test_odd_vectors(spark):
 
 def test_blocks_and_ties(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 50)
-    monkeypatch.setattr(ann, "QUERIES", 3)
     rng = np.random.default_rng(1)
     x = [np.float32(v) for v in np.vstack([np.repeat(rng.standard_normal((1, 4)), 300, 0), rng.standard_normal((200, 4))]).astype(np.float32)]
     ids = list(range(500))
