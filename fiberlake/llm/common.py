@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import math
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +71,25 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator of docs whose columns may have any name: those that begin with two underscores, as columns do that
+    operators add for a while, have another name inside."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        inside: dict[str, str] = {}
+        for c in docs.columns:
+            if c.startswith("__"):
+                name = "own" + c
+                while name.lower() in {x.lower() for x in (*docs.columns, *inside.values())}:
+                    name += "_"
+                inside[c] = name
+        out = operator(docs.withColumnsRenamed(inside), *args, **kwargs)
+        return out.withColumnsRenamed({new: old for old, new in inside.items()})
+
+    return run
+
+
 def row_key(docs: DataFrame) -> DataFrame:
     """docs with __id and __text_key, which tell rows apart unless they share both doc_id and text."""
     return docs.withColumns({"__id": id_or_last(), "__text_key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, code_points, id_or_last, record_batches, table, texts
-from .twice import MAX_FILTER_BITS, filter_bits, seen_twice, suspected
+from .common import checkpointed, code_points, id_or_last, own_names, record_batches, row_key, table, texts
+from .twice import MAX_FILTER_BITS, hashes_of_text, suspects
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -38,33 +38,33 @@ def _keys(text: bytes, min_chars: int) -> set[bytes]:
 
 def repeated_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """(id, drop): the digests of the keys that each document loses. Documents that lose none have no row."""
-    spark = docs.sparkSession
-    bits = filter_bits(docs, max_filter_bits)
 
     def key_hashes(batch: pa.RecordBatch) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(k) for text in texts(batch.column(0)) for k in _keys(text, min_chars)], np.uint64)
 
-    twice = spark.sparkContext.broadcast(seen_twice(docs.select(F.col("text").cast("binary")), bits, key_hashes))
+    keyed = row_key(docs.select("doc_id", "text")).select("__id", "__text_key", F.col("text").cast("binary"))
+    suspected = suspects(keyed, ["__id", "__text_key"], "text", key_hashes, hashes_of_text(), max_filter_bits)
+    asked, may_repeat = suspected.rows, suspected.test
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("key", pa.binary())])
-        held = twice.value
         for batch in batches:
             ids, keys, owners = batch.column(0).to_pylist(), [], []
-            for owner, text in zip(ids, texts(batch.column(1)), strict=True):
+            for owner, text in zip(ids, texts(batch.column(2)), strict=True):
                 found = _keys(text, min_chars)
                 keys += found
                 owners += [owner] * len(found)
             if not keys:
                 continue
-            hit = suspected(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), held, bits)
+            hit = may_repeat(batch, np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)))
             yield from record_batches(((owners[i], xxhash.xxh3_128_digest(keys[i]), keys[i]) for i in np.flatnonzero(hit)), schema)
 
-    found = checkpointed(docs.select(id_or_last().alias("id"), F.col("text").cast("binary")).mapInArrow(suspects, "id long, digest binary, key binary"))
+    found = checkpointed(asked.mapInArrow(repeats, "id long, digest binary, key binary"))
     confirmed = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first("digest").alias("digest")).filter("first < last").select("digest", "first")
     return found.select("id", "digest").join(confirmed, "digest").filter("id > first").groupBy("id").agg(F.collect_set("digest").alias("drop"))
 
 
+@own_names
 def dedup_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int = MAX_FILTER_BITS, counts: bool = True) -> DataFrame:
     """docs with the lines of repeated keys dropped from all but the smallest doc_id that holds the key.
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, row_key, table, texts
+from .common import checkpointed, own_names, row_key, table, texts
 
 #: Exponents tried at once, and times the interval is cut: 64 ** 6 steps, a width of 1.5e-11.
 SECTIONS, ROUNDS = 64, 6
@@ -153,6 +153,7 @@ def plan(rows: DataFrame, entropy: float | None, repeats: float | None, budget:
     return cut.join(last, "source", "left").select("source", "weight", "passes", F.coalesce(F.col("h"), F.col("low") - 1).alias("last"))
 
 
+@own_names
 def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: float | None = None, key: int = 0, source: str = "source", budget_share: float | None = None) -> DataFrame:
     """docs with n_tokens, weight (of the row's source) and copies (how often the mixture holds the row), replacing
     columns of these names.
@@ -168,6 +169,7 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = N
     return rows.select(*[c for c in docs.columns if c not in added], *[v.alias(n) for n, v in added.items()])
 
 
+@own_names
 def mixed(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: float | None = None, key: int = 0, source: str = "source", budget_share: float | None = None) -> DataFrame:
     """The mixture itself: the rows of docs, with their own columns, each as often as mix() has copies of it."""
     rows = _planned(docs, entropy, repeats, budget, key, source, budget_share).filter("__copies > 0")

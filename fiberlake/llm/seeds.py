@@ -2,7 +2,8 @@
 
 `met` has a row for each run: (seed, digest, windows, place, run), where equal runs have equal digests and the run's bytes
 are there once a task at least. Only seeds with several classes need the bytes compared. A Bloom filter of those seeds
-keeps all other bytes from being shuffled; what it lets through by mistake is dropped when the seed's rows are together.
+keeps all other bytes from being shuffled; what it lets through by mistake is dropped when the seed's rows are together. A
+semi-join takes its place where the seeds are too many for one broadcast.
 """
 
 from __future__ import annotations
@@ -36,16 +37,18 @@ def classes_of(met: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> Classe
     seeds = counts.groupBy("seed").agg(F.count(F.lit(1)).alias("classes"), F.max("count").alias("count"), F.first("digest").alias("digest"), F.first("windows").alias("windows"))
     alone = seeds.filter("classes = 1 and count > 1").select("digest", "windows")
     several = checkpointed(seeds.filter("classes > 1").select("seed", "classes"))
-    bits = int(min(max_filter_bits, max(MIN_FILTER_BITS, power_of_two(BITS_PER_SEED * several.count()))))
+    rows = counts.select("seed", "digest", "windows", "count", F.lit(None).cast("int").alias("place"), F.lit(None).cast("binary").alias("run"))
+    runs = met.filter("run is not null").select("seed", "digest", "windows", F.lit(None).cast("long").alias("count"), "place", "run")
+    both = rows.unionByName(runs)
+    bits = max(MIN_FILTER_BITS, power_of_two(BITS_PER_SEED * several.count()))
+    if bits > max_filter_bits:  # more seeds than one broadcast filter can tell apart
+        return Classes(alone, several, both.join(several.select("seed"), "seed", "left_semi").select(both.columns))
     shared = met.sparkSession.sparkContext.broadcast(seen(several.select("seed"), bits, lambda b: b.column(0).to_numpy().view(np.uint64), 1))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(suspected(batch.column(0).to_numpy().view(np.uint64), shared.value, bits)))
 
-    rows = counts.select("seed", "digest", "windows", "count", F.lit(None).cast("int").alias("place"), F.lit(None).cast("binary").alias("run"))
-    runs = met.filter("run is not null").select("seed", "digest", "windows", F.lit(None).cast("long").alias("count"), "place", "run")
-    both = rows.unionByName(runs)
     return Classes(alone, several, both.mapInArrow(likely, both.schema))
 
 

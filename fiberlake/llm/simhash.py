@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_or_last, null_if_last, partitions, record_batches, row_key, table, texts
+from .common import checkpointed, id_or_last, null_if_last, own_names, partitions, record_batches, row_key, table, texts
 from .components import connected_components
 
 #: Classes that a task compares at once.
@@ -232,6 +232,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFr
     )
 
 
+@own_names
 def dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id.
 

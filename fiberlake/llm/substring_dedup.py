@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import runs
-from .common import checkpointed, partitions, record_batches, row_key, stored, table, texts
+from .common import checkpointed, own_names, partitions, record_batches, row_key, stored, table, texts
 from .seeds import classes_of, gathered
-from .twice import MAX_FILTER_BITS, filter_bits, seen_twice, suspected
+from .twice import MAX_FILTER_BITS, hashes_of_text, suspects
 from .words import laid
 
 WINDOW = 35
 GRAM = 10
 #: Classes of a seed that one task extends together.
-GROUP = 20_000
+GROUP = 1000
 #: Seeds of up to so many classes are extended a pair at a time.
 FEW = 8
 #: Digests of runs that a task remembers having sent.
@@ -146,22 +146,20 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_
     of mask is set. Rows without repeats are absent."""
     if not (1 <= gram <= window and window - gram < 63):
         raise ValueError("the windows of a seed must fit a 64-bit mask")
-    spark = docs.sparkSession
-    bits = filter_bits(docs, max_filter_bits)
-    twice = spark.sparkContext.broadcast(seen_twice(docs.select(F.col("text").cast("binary")), bits, _seeds(window, gram)))
     keyed = row_key(docs.select("doc_id", "text")).select("__id", "__text_key", F.col("text").cast("binary"))
+    suspected = suspects(keyed, ["__id", "__text_key"], "text", _seeds(window, gram), hashes_of_text(), max_filter_bits)
+    asked, may_repeat = suspected.rows, suspected.test
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each run with a suspected seed; the run's words are sent once a task."""
         schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("seed", pa.int64()), ("digest", pa.binary()), ("run", pa.binary()), ("place", pa.int32()), ("windows", pa.int32())])
         sent: set[bytes] = set()
-        held = twice.value
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lay in laid(texts(batch.column(2))):
                 begins = np.concatenate([[0], lay.ends[:-1]])
                 for first, last, place, seed in runs(lay.codes, lay.ends, window, gram):
-                    hit = np.flatnonzero(suspected(seed, held, bits))
+                    hit = np.flatnonzero(may_repeat(batch, seed))
                     text = np.searchsorted(lay.ends, first[hit], side="right")
                     out = []
                     for t, a, b, p, at, s in zip(text.tolist(), first[hit].tolist(), last[hit].tolist(), place[hit].tolist(), (first[hit] - begins[text]).tolist(), seed[hit].view(np.int64).tolist(), strict=True):
@@ -174,12 +172,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_
                         out.append((ids[lay.rows[t]], keys[lay.rows[t]], at, s, digest, data, p - a, b - a + 1))
                     yield from record_batches(out, schema, 16384)
 
-    met = stored(keyed.mapInArrow(meet, "id long, key long, start int, seed long, digest binary, run binary, place int, windows int"))
+    met = stored(asked.mapInArrow(meet, "id long, key long, start int, seed long, digest binary, run binary, place int, windows int"))
     classes = classes_of(met, max_filter_bits)
     common = checkpointed(classes.several.filter(F.col("classes") > GROUP).select("seed"))  # one in GROUP classes at most
     large, rows = not common.isEmpty(), classes.rows
     small = rows.join(common, "seed", "left_anti").select(rows.columns) if large else rows
-    masks = small.repartition(partitions(spark), "seed").sortWithinPartitions("seed", "digest").mapInArrow(_masks(window, gram), "digest binary, mask long")
+    masks = small.repartition(partitions(docs.sparkSession), "seed").sortWithinPartitions("seed", "digest").mapInArrow(_masks(window, gram), "digest binary, mask long")
     masks = masks.unionByName(classes.alone.select("digest", F.expr("shiftleft(1L, windows) - 1").alias("mask")))
     if large:
         whole = rows.join(common, "seed", "left_semi").groupBy("digest").agg(F.first("run", ignorenulls=True).alias("run"), F.first("windows").alias("windows"), F.sum("count").alias("count"))
@@ -204,6 +202,7 @@ def covered(found: list[dict] | None, n: int, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+@own_names
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """docs with the words of repeated windows removed: `text` holds the other words joined by one space; n_words (before),
     n_removed and removed_spans (array of [first word, end)) are added, replacing columns of these names.

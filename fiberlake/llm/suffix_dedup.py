@@ -7,8 +7,9 @@ strings meet in one shard, and each shard's text, its classes laid end to end, i
 (suffix_sort.py): strings whose suffixes share `window` bytes with a neighbour are repeated. An anchor with one class
 needs no sorting, as its strings are repeated if the class is.
 
-A shard has about SHARD_BYTES, whatever the corpus; one that is larger, since one anchor has very many classes, is sorted
-on disk with MEMORY tuples held. Sorting scratch is the task's own and goes when the shard is done.
+A shard has about SHARD_BYTES, whatever the corpus; one that does not fit MEMORY tuples is sorted on disk. Sorting scratch
+is the task's own and goes when the shard is done. Anchors with more than GROUP classes (texts around a very common
+passage) are no shard: their windows are met one by one by hashes, which spreads them over all tasks.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import runs
-from .common import record_batches, row_key, stored, table, texts
+from .anchors import gram_hashes, runs
+from .common import checkpointed, own_names, record_batches, row_key, stored, table, texts
 from .seeds import classes_in_order, classes_of
 from .suffix_sort import Scratch, repeated
-from .twice import MAX_FILTER_BITS, filter_bits, seen_twice, suspected
+from .twice import MAX_FILTER_BITS, hashes_of_text, suspects
 
 WINDOW = 400
 GRAM = 32
@@ -40,8 +41,10 @@ MEMORY = 4 << 20
 CHUNK = 1 << 20
 #: Digests of runs that a task remembers having sent.
 SENT = 50_000
+#: Classes of an anchor that one task sorts together.
+GROUP = 1000
 END, GAP, FIRST = 0, 1, 2
-_CODE = np.array([xxhash.xxh3_64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
+_CODE, _OTHER = (np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed) for b in range(256)], np.uint64) for seed in (7, 8))
 
 
 def _laid(values: Iterator[bytes]) -> Iterator[tuple[list[int], bytes, np.ndarray]]:
@@ -146,15 +149,45 @@ def _sorted_shards(window: int, memory: int):
     return lambda batches: record_batches(found(batches), schema, 16384)
 
 
+def _by_window(large: DataFrame, window: int) -> DataFrame:
+    """(digest, spans) for the classes (digest, run, windows, count) of very common anchors, each window met by 128 bits of
+    its own hash, so that such an anchor's classes are spread over all tasks."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                digest, run, count = (batch.column(c)[i].as_py() for c in ("digest", "run", "count"))
+                data = np.frombuffer(run, np.uint8)
+                a, b = (gram_hashes(code[data], window).view(np.int64) for code in (_CODE, _OTHER))
+                n = len(a)
+                yield pa.RecordBatch.from_arrays([pa.array([digest] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(a), pa.array(b), pa.array(np.full(n, count))], names=["digest", "at", "a", "b", "count"])
+
+    each = large.mapInArrow(hashes, "digest binary, at int, a long, b long, count long")
+    again = each.groupBy("a", "b").agg(F.sum("count").alias("n")).filter("n > 1").select("a", "b")
+    places = each.join(again, ["a", "b"]).groupBy("digest").agg(F.sort_array(F.collect_list("at")).alias("at"))  # `window` places at most
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("digest", pa.binary()), ("spans", pa.list_(pa.int32()))])
+        for batch in batches:
+            out = []
+            for at in batch.column(1).to_pylist():
+                at = np.array(at)
+                first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+                last = np.concatenate([first[1:], [len(at)]]) - 1
+                out.append(np.stack([at[first], at[last] + 1], axis=1).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, schema.field(1).type)], schema=schema)
+
+    return places.mapInArrow(spans, "digest binary, spans array<int>")
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """(__id, __text_key, __found): an array of (start, spans); of each row, the window starts start + [spans[0],
     spans[1]), start + [spans[2], spans[3]), .. are repeated. Rows without repeats are absent."""
     if not 1 <= gram <= window:
         raise ValueError("an anchor must fit the window")
-    spark = docs.sparkSession
-    bits = filter_bits(docs, max_filter_bits)
-    twice = spark.sparkContext.broadcast(seen_twice(docs.select(F.col("text").cast("binary")), bits, _seeds(window, gram)))
     keyed = row_key(docs.select("doc_id", "text")).select("__id", "__text_key", F.col("text").cast("binary"))
+    suspected = suspects(keyed, ["__id", "__text_key"], "text", _seeds(window, gram), hashes_of_text(), max_filter_bits)
+    asked, may_repeat = suspected.rows, suspected.test
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each run with a suspected anchor; its bytes are sent once a task."""
@@ -165,7 +198,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes
             for rows, whole, ends in _laid(texts(batch.column(2))):
                 begins = np.concatenate([[0], ends[:-1]])
                 for first, last, _, seed in runs(_CODE[np.frombuffer(whole, np.uint8)], ends, window, gram):
-                    hit = np.flatnonzero(suspected(seed, twice.value, bits))
+                    hit = np.flatnonzero(may_repeat(batch, seed))
                     text = np.searchsorted(ends, first[hit], side="right")
                     out = []
                     for t, a, b, at, s in zip(text.tolist(), first[hit].tolist(), last[hit].tolist(), (first[hit] - begins[text]).tolist(), seed[hit].view(np.int64).tolist(), strict=True):
@@ -180,14 +213,21 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes
                         out.append((ids[rows[t]], keys[rows[t]], at, s, digest, data, 0, b - a + 1))
                     yield from record_batches(out, schema, 4096)
 
-    met = stored(keyed.mapInArrow(meet, "id long, key long, start long, seed long, digest binary, run binary, place int, windows int"))
+    met = stored(asked.mapInArrow(meet, "id long, key long, start long, seed long, digest binary, run binary, place int, windows int"))
     classes = classes_of(met, max_filter_bits)
+    common = checkpointed(classes.several.filter(F.col("classes") > GROUP).select("seed"))  # one in GROUP classes at most
+    rows, large = classes.rows, None
+    if not common.isEmpty():
+        large = rows.join(common, "seed", "left_semi").groupBy("digest").agg(F.first("run", ignorenulls=True).alias("run"), F.first("windows").alias("windows"), F.sum("count").alias("count"))
+        rows = rows.join(common, "seed", "left_anti").select(rows.columns)
     # each class has one row with a count
-    total = classes.rows.filter("count is not null").agg(F.sum(F.col("windows") + window)).first()[0] or 0
+    total = rows.filter("count is not null").agg(F.sum(F.col("windows") + window)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_bytes))
-    dealt = classes.rows.withColumn("shard", F.pmod(F.xxhash64("seed"), F.lit(shards)))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("seed"), F.lit(shards)))
     spans = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "seed", "digest").mapInArrow(_sorted_shards(window, memory), "digest binary, spans array<int>")
     spans = spans.unionByName(classes.alone.select("digest", F.array(F.lit(0), "windows").alias("spans")))
+    if large is not None:
+        spans = spans.unionByName(_by_window(large, window))
     found = met.select("id", "key", "start", "digest").join(spans, "digest").groupBy("id", "key").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
     return found.select(F.col("id").alias("__id"), F.col("key").alias("__text_key"), F.col("found").alias("__found"))
 
@@ -204,6 +244,7 @@ def covered(found: list[dict] | None, n: int, window: int) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))).reshape(-1, 2)
 
 
+@own_names
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """docs without the bytes that lie in a string of `window` bytes that also starts anywhere else.
 

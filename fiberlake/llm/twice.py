@@ -1,25 +1,79 @@
-"""A pair of Bloom filters over a whole corpus: hashes seen once and hashes seen at least twice."""
+"""Which hashes of a corpus are seen at least twice.
+
+Where a filter of MAX_FILTER_BITS suffices, a pair of Bloom filters tells: hashes seen once and hashes seen twice; the
+second is broadcast. A larger corpus would fill it, so there the hashes themselves are counted, by a shuffle of 8 bytes
+each, and every row is given those of its own hashes that are repeated. Both let through every repeat; the results of
+the operators are the same.
+"""
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .common import power_of_two, record_batches
+from .common import power_of_two, record_batches, stored
 
-#: The filter is broadcast, so it never grows beyond this many bits (64 MB); a fuller filter lets more suspects through.
+#: The filter is broadcast, so it never grows beyond this many bits (64 MB).
 MAX_FILTER_BITS = 1 << 29
 MIN_FILTER_BITS = 1 << 20
-BITS_PER_DOCUMENT = 256
+BITS_PER_HASH = 8
+#: Bytes of text with about one hash.
+BYTES_PER_HASH = 100
 CHUNKS = 64
+SUSPECTS = "__suspects"
+
+
+def filter_bits(rows: DataFrame, hashes: Column) -> int:
+    """Bits for the hashes that the rows are expected to have."""
+    return max(MIN_FILTER_BITS, power_of_two(BITS_PER_HASH * (rows.agg(F.sum(hashes)).first()[0] or 0)))
+
+
+def hashes_of_text(column: str = "text") -> Column:
+    return F.octet_length(column) / BYTES_PER_HASH
+
+
+@dataclass
+class Suspects:
+    #: the rows, with their repeated hashes in SUSPECTS if these were counted
+    rows: DataFrame
+    #: for a batch of rows and hashes of them, which hashes may be repeated
+    test: Callable[[pa.RecordBatch, np.ndarray], np.ndarray]
+
+
+def suspects(rows: DataFrame, key: list[str], column: str, hashes: Callable[[pa.RecordBatch], np.ndarray], expected: Column, most: int = MAX_FILTER_BITS) -> Suspects:
+    """Suspects among the hashes of a column of rows, which `key` tells apart but for equal ones. `hashes` gives the
+    uint64 hashes of a batch of that column alone."""
+    bits = filter_bits(rows, expected)
+    if bits <= most:
+        twice = rows.sparkSession.sparkContext.broadcast(seen_twice(rows.select(column), bits, hashes))
+        return Suspects(rows, lambda batch, found: suspected(found, twice.value, bits))
+    place = rows.columns.index(column)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, count = np.unique(hashes(batch), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(count, 2))], names=["hash", "n"])
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(hashes(batch.select([place]).slice(i, 1))) for i in range(batch.num_rows)]
+            row = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            keys = [batch.column(k).take(row) for k in key]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], names=[*key, "hash"])
+
+    again = stored(rows.select(column).mapInArrow(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash"))
+    lists = rows.mapInArrow(owned, ", ".join([f"{k} long" for k in key] + ["hash long"])).join(again, "hash").groupBy(*key).agg(F.collect_set("hash").alias(SUSPECTS))
 
+    def test(batch: pa.RecordBatch, found: np.ndarray) -> np.ndarray:
+        return np.isin(found, batch.column(SUSPECTS).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
-def filter_bits(docs: DataFrame, most: int) -> int:
-    return int(min(most, max(MIN_FILTER_BITS, power_of_two(BITS_PER_DOCUMENT * docs.count()))))
+    return Suspects(rows.join(lists, key, "left"), test)
 
 
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -80,6 +134,6 @@ def seen(rows: DataFrame, bits: int, hashes: Callable[[pa.RecordBatch], np.ndarr
     parts = rows.mapInArrow(fill, "chunk int, ones binary, twos binary")
     merged = parts.repartition(CHUNKS, "chunk").sortWithinPartitions("chunk").mapInArrow(merge, "chunk int, bits binary")
     whole = np.zeros(bits // 8, np.uint8)
-    for row in merged.collect():  # CHUNKS rows, MAX_FILTER_BITS / 8 bytes at most
+    for row in merged.collect():  # CHUNKS rows, bits / 8 bytes
         whole[row.chunk * span // 8 : (row.chunk + 1) * span // 8] = np.frombuffer(row.bits, np.uint8)
     return whole

@@ -34,7 +34,7 @@ def test_against_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_small_filter_changes_nothing(spark):
+def test_counted_hashes_change_nothing(spark):
     docs = documents(spark, [f"common line of all\nline {i} by itself {i * i}\n" for i in range(300)])
     want = sorted((r.doc_id, r.text) for r in dedup_lines(docs).collect())
     assert sorted((r.doc_id, r.text) for r in dedup_lines(docs, max_filter_bits=1 << 10).collect()) == want

@@ -38,11 +38,11 @@ def corpus(rng, words=4000):
     return texts
 
 
-@pytest.mark.parametrize("group", [20_000, 3, 0])
-def test_against_brute_force(spark, monkeypatch, group):
+@pytest.mark.parametrize("group, filter_bits", [(1000, 1 << 29), (3, 1 << 29), (0, 1 << 29), (1000, 0)])
+def test_against_brute_force(spark, monkeypatch, group, filter_bits):
     monkeypatch.setattr(sd, "GROUP", group)
     texts = corpus(random.Random(group))
-    rows = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in sd.dedup_substrings(documents(spark, texts)).collect()}
+    rows = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in sd.dedup_substrings(documents(spark, texts), max_filter_bits=filter_bits).collect()}
     want = brute(texts, 35)
     assert [rows[i] for i in range(len(texts))] == want
     assert sum(r for _, r, _ in want) > 1000

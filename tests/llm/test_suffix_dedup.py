@@ -42,10 +42,11 @@ def corpus(rng, letters="abcdé fgh\n"):
     return texts
 
 
-@pytest.mark.parametrize("shard_bytes, memory", [(1 << 20, 1 << 20), (2000, 1 << 20), (1 << 20, 500)])
-def test_against_brute_force(spark, shard_bytes, memory):
-    texts = corpus(random.Random(shard_bytes + memory))
-    got = sd.dedup_bytes(documents(spark, texts), window=40, gram=8, shard_bytes=shard_bytes, memory=memory).collect()
+@pytest.mark.parametrize("shard_bytes, memory, group, filter_bits", [(1 << 20, 1 << 20, 1000, 1 << 29), (2000, 1 << 20, 1000, 1 << 29), (1 << 20, 500, 1000, 1 << 29), (2000, 1 << 20, 3, 1 << 29), (2000, 1 << 20, 0, 0)])
+def test_against_brute_force(spark, monkeypatch, shard_bytes, memory, group, filter_bits):
+    monkeypatch.setattr(sd, "GROUP", group)
+    texts = corpus(random.Random(shard_bytes + memory + group))
+    got = sd.dedup_bytes(documents(spark, texts), window=40, gram=8, shard_bytes=shard_bytes, memory=memory, max_filter_bits=filter_bits).collect()
     rows = {r.doc_id: (r.n_bytes, r.n_removed, len(r.removed_spans), bytes(r.kept)) for r in got}
     assert [rows[i] for i in range(len(texts))] == brute(texts, 40)
 
