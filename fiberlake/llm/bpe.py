@@ -12,9 +12,13 @@ tree, each while that token was there, and an arc w exists where the arc of its
 tables hold the cut of each gadget (u, v at rank r) and the parts of each token; a part was there until the rank of what
 it became part of. `follows` reads an arc from these tables; listing all arcs would take the square of the vocabulary.
 
-Each string has one path. A word is encoded by walking the symbol trie of arc labels for the longest label at each
-place and stepping to shorter ones where the state has no such arc; a place once left is never entered again, so the
-walk is linear in the word. Decoding emits the labels of the arcs.
+Words are read symbol by symbol with a transition table. Each string has one path in the token automaton, so each prefix
+of a word has one last token. A reader's state is the longest label prefix that the word read so far ends with, and the
+last tokens of the prefixes before it and before the shorter ones: all that later symbols can ask for. Its transition by
+a symbol tries the labels that end there, of which exactly one follows the last token before it. States are numbered and
+their transitions written into the table when they are first met; from then on a symbol is one look-up, without a
+second try and without going back. The tokens are read off the states' last tokens from the word's end. Decoding emits
+the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -34,9 +38,9 @@ from pyspark.sql import types as T
 from .common import table, texts
 
 #: Distinct words that a Python worker keeps encoded; it starts anew when they are more.
-CACHE_WORDS = 250_000
-#: Arcs that it keeps as read from the tables.
-CACHE_ARCS = 100_000
+CACHE_WORDS = 150_000
+#: States that a reader keeps; it starts anew, between two words, when they are more.
+MOST_STATES = 150_000
 #: Documents whose ids are held at once.
 ROWS = 512
 NEVER = 1 << 30
@@ -49,13 +53,27 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class State(dict):
+    """A reader's row of the transition table: symbol to state. `lasts`: for its node and each shorter one with children,
+    the last token of the text before it; `last`, the token of all read so far, is that of the empty node."""
+
+    __slots__ = ("automaton", "node", "lasts", "last")
+
+    def __init__(self, automaton: Automaton, node: int, lasts: tuple[int, ...]):
+        super().__init__()
+        self.automaton, self.node, self.lasts, self.last = automaton, node, lasts, lasts[-1]
+
+    def __missing__(self, symbol: int) -> State:
+        found = self[symbol] = self.automaton.after(self, symbol)
+        return found
+
+
 class Automaton:
     """The automaton of base symbols 0 .. base-1 and merges (left id, right id), of which number r makes token base + r."""
 
     def __init__(self, base: int, merges: list[tuple[int, int]]):
         size = base + len(merges)
         self.cut: dict[int, int] = {}
-        self.arcs: dict[int, bool] = {}
         #: the parts of each merged token, and -1 for base symbols
         self.first = [-1] * base + [u for u, _ in merges]
         self.second = [-1] * base + [v for _, v in merges]
@@ -71,25 +89,73 @@ class Automaton:
             if live[w]:
                 self.cut[u << 20 | v] = r
             self.width.append(self.width[u] + self.width[v])
-        self.step: dict[int, int] = {}
+        self.step: dict[int, int] = {}  # trie of the labels: node and symbol to node
         self.label = [-1]  # trie node to token
-        self.shorter = [-1] * size  # the longest other token that a token starts with
+        self.depth = [0]
+        links = []  # (node, parent, symbol)
         spelling: list[tuple[int, ...]] = []
         for t in range(size):
             spelling.append((t,) if t < base else spelling[merges[t - base][0]] + spelling[merges[t - base][1]])
-        for t in sorted((t for t in range(size) if live[t]), key=self.width.__getitem__):
-            node, last = 0, -1
+        for t in (t for t in range(size) if live[t]):
+            node = 0
             for s in spelling[t]:
                 after = self.step.get(node * base + s)
                 if after is None:
                     after = self.step[node * base + s] = len(self.label)
                     self.label.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    links.append((after, node, s))
                 node = after
-                if self.label[node] >= 0:
-                    last = self.label[node]
             if self.label[node] >= 0:
                 raise ValueError(f"tokens {self.label[node]} and {t} have the same spelling")
-            self.label[node], self.shorter[t] = t, last
+            self.label[node] = t
+        self.shorter = [0] * len(self.label)  # the longest shorter node that a node ends with
+        for node, parent, s in sorted(links, key=lambda link: self.depth[link[0]]):
+            if parent:
+                self.shorter[node] = self._goto(self.shorter[parent], s)
+        # what a label can go on from: a node without children is of no use to later symbols
+        parents = {parent for _, parent, _ in links}
+        self.inner = [0] * len(self.label)
+        for node in sorted(range(1, len(self.label)), key=self.depth.__getitem__):
+            self.inner[node] = node if node in parents else self.inner[self.shorter[node]]
+        self._start()
+
+    def _goto(self, node: int, symbol: int) -> int:
+        """The longest node that the text at `node` and the symbol end with."""
+        while True:
+            after = self.step.get(node * self.base + symbol)
+            if after is not None:
+                return after
+            if not node:
+                return 0
+            node = self.shorter[node]
+
+    def _start(self) -> None:
+        """The state before a word, alone."""
+        self.begin = State(self, 0, (-1,))
+        self.states: dict[tuple, State] = {(0, -1): self.begin}
+
+    def after(self, state: State, symbol: int) -> State:
+        """The state after a symbol, by the labels that end there: one of them follows the last token before it."""
+        depth, shorter, label, inner = self.depth, self.shorter, self.label, self.inner
+        before, node = {}, state.node
+        for token in state.lasts:
+            before[depth[node]] = token
+            node = inner[shorter[node]]
+        node = at = self._goto(state.node, symbol)
+        while label[at] < 0 or ((a := before[depth[at] - 1]) >= 0 and not self.follows(a, label[at])):
+            at = shorter[at]
+        token, lasts = label[at], []
+        node = at = inner[node]
+        while at:
+            lasts.append(before[depth[at] - 1])
+            at = inner[shorter[at]]
+        lasts.append(token)
+        key = (node, *lasts)
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(self, node, key[1:])
+        return found
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the state of a has an arc b. Of two equal merges the one further left comes first, hence < and <=."""
@@ -107,42 +173,17 @@ class Automaton:
 
     def path(self, word: list[int]) -> list[int]:
         """The tokens of a word of base symbols."""
-        n, at, out, dead = len(word), 0, [], set()
-        get, label, width, shorter, base, arcs = self.step.get, self.label, self.width, self.shorter, self.base, self.arcs
-        a, b = -1, -1
-        fresh = True
-        while at < n:
-            if fresh:
-                node, b, i = 0, -1, at
-                while i < n:
-                    node = get(node * base + word[i])
-                    if node is None:
-                        break
-                    if label[node] >= 0:
-                        b = label[node]
-                    i += 1
-            while b >= 0:
-                if at + width[b] not in dead:
-                    if a < 0:
-                        break
-                    arc = arcs.get(a << 20 | b)
-                    if arc is None:
-                        if len(arcs) >= CACHE_ARCS:
-                            arcs.clear()
-                        arc = arcs[a << 20 | b] = self.follows(a, b)
-                    if arc:
-                        break
-                b = shorter[b]
-            if b < 0:
-                dead.add(at)
-                b = out.pop()
-                at -= width[b]
-                b, fresh = shorter[b], False
-            else:
-                out.append(b)
-                at += width[b]
-                fresh = True
-            a = out[-1] if out else -1
+        if len(self.states) > MOST_STATES:
+            self._start()
+        state = self.begin
+        tokens = [(state := state[symbol]).last for symbol in word]
+        width = self.width
+        out, at = [], len(word)
+        while at:
+            token = tokens[at - 1]
+            out.append(token)
+            at -= width[token]
+        out.reverse()
         return out
 
 

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: A document without an id ranks after every document with one.
 NO_ID = (1 << 63) - 1
-#: Zstandard's level for stored tables.
-STORED_LEVEL = 6
 #: Rows with texts that Python is sent at once.
 BATCH_ROWS = 1024
 
@@ -60,17 +58,26 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(name, before)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, level: int = 3) -> DataFrame:
     """df as a compressed Parquet table in the shared checkpoint folder; the table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", STORED_LEVEL).parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a number or two that are broadcast (16 MB at most).
+MOST_BROADCAST = 1 << 20
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, broadcast if it is counted to be small."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
 def own_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator of docs whose columns may have any name: those that begin with two underscores, as columns do that
     operators add for a while, have another name inside."""

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import runs
-from .common import checkpointed, own_names, partitions, record_batches, row_key, stored, table, texts
+from .common import checkpointed, few, own_names, partitions, record_batches, row_key, stored, table, texts
 from .seeds import classes_of, gathered
 from .twice import MAX_FILTER_BITS, hashes_of_text, suspects
 from .words import laid
@@ -32,7 +32,7 @@ from .words import laid
 WINDOW = 35
 GRAM = 10
 #: Classes of a seed that one task extends together.
-GROUP = 1000
+GROUP = 20_000
 #: Seeds of up to so many classes are extended a pair at a time.
 FEW = 8
 #: Digests of runs that a task remembers having sent.
@@ -176,8 +176,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_
     classes = classes_of(met, max_filter_bits)
     common = checkpointed(classes.several.filter(F.col("classes") > GROUP).select("seed"))  # one in GROUP classes at most
     large, rows = not common.isEmpty(), classes.rows
+    common = few(common)
     small = rows.join(common, "seed", "left_anti").select(rows.columns) if large else rows
-    masks = small.repartition(partitions(docs.sparkSession), "seed").sortWithinPartitions("seed", "digest").mapInArrow(_masks(window, gram), "digest binary, mask long")
+    # dealt by a column of its own: Spark takes a join by seed for the same dealing, but may split its partitions
+    dealt = small.withColumn("place_of", F.xxhash64("seed")).repartition(partitions(docs.sparkSession), "place_of").sortWithinPartitions("seed", "digest").drop("place_of")
+    masks = dealt.mapInArrow(_masks(window, gram), "digest binary, mask long")
     masks = masks.unionByName(classes.alone.select("digest", F.expr("shiftleft(1L, windows) - 1").alias("mask")))
     if large:
         whole = rows.join(common, "seed", "left_semi").groupBy("digest").agg(F.first("run", ignorenulls=True).alias("run"), F.first("windows").alias("windows"), F.sum("count").alias("count"))

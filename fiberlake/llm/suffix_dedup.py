@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import gram_hashes, runs
-from .common import checkpointed, own_names, record_batches, row_key, stored, table, texts
+from .common import checkpointed, few, own_names, record_batches, row_key, stored, table, texts
 from .seeds import classes_in_order, classes_of
 from .suffix_sort import Scratch, repeated
 from .twice import MAX_FILTER_BITS, hashes_of_text, suspects
@@ -42,7 +42,7 @@ CHUNK = 1 << 20
 #: Digests of runs that a task remembers having sent.
 SENT = 50_000
 #: Classes of an anchor that one task sorts together.
-GROUP = 1000
+GROUP = 20_000
 END, GAP, FIRST = 0, 1, 2
 _CODE, _OTHER = (np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed) for b in range(256)], np.uint64) for seed in (7, 8))
 
@@ -218,6 +218,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes
     common = checkpointed(classes.several.filter(F.col("classes") > GROUP).select("seed"))  # one in GROUP classes at most
     rows, large = classes.rows, None
     if not common.isEmpty():
+        common = few(common)
         large = rows.join(common, "seed", "left_semi").groupBy("digest").agg(F.first("run", ignorenulls=True).alias("run"), F.first("windows").alias("windows"), F.sum("count").alias("count"))
         rows = rows.join(common, "seed", "left_anti").select(rows.columns)
     # each class has one row with a count

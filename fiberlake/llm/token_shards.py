@@ -181,7 +181,7 @@ def write_shards(docs: DataFrame, path: str, length: int = 1024, per_shard: int
     spark = docs.sparkSession
     shared = Vocabulary(spark, vocabulary or default_path())
     end_id, dtype = shared.get().end_id, shared.get().dtype
-    rows = stored(_staged(docs, shared))
+    rows = stored(_staged(docs, shared), LEVEL)
     begins, tokens = {}, 0
     for r in rows.groupBy("task").agg(F.sum("n").alias("n")).orderBy("task").collect():  # a row a task
         begins[r.task], tokens = tokens, tokens + r.n

@@ -39,9 +39,11 @@ def test_matches_the_library(ours, library):
         assert ours.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_automaton_is_bpe():
+@pytest.mark.parametrize("seed, states", [(9, 100_000), (10, 100_000), (11, 20)])
+def test_automaton_is_bpe(monkeypatch, seed, states):
     """Against merging by rank, on a small random merge list."""
-    rng = random.Random(9)
+    monkeypatch.setattr(bpe, "MOST_STATES", states)
+    rng = random.Random(seed)
     merges, pairs = [], set()
     spelling = [(s,) for s in range(3)]
     while len(merges) < 60:
@@ -61,6 +63,8 @@ def test_automaton_is_bpe():
                     want[i : i + 2] = [3 + r]
                 i += 1
         assert automaton.path(word) == want
+        assert automaton.path(word) == want  # now from the table alone
+    assert all(0 <= symbol < 3 for state in automaton.states.values() for symbol in state)
 
 
 def test_tables(spark, ours, library):
