@@ -1,8 +1,11 @@
+import base64
 import math
 import random
 from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from fiberlake.llm import mixing
@@ -95,6 +98,41 @@ def test_partial_pass_follows_the_keyed_order(spark):
         assert order == sorted(order, reverse=True)
 
 
+@pytest.mark.parametrize("target", [{"repeats": 2.5}, {"entropy": 0.97, "repeats": 4.0, "budget_share": 1.0}])
+def test_mixture_is_a_permutation_of_blocks(spark, monkeypatch, target):
+    """Every copy once; every block holds the sources by their weights; a pass ends before the next begins."""
+    monkeypatch.setattr(mixing, "BLOCKS", 8)
+    texts, sources = corpus(random.Random(7), {"hot": 4000, "b": 900, "c": 500})
+    docs = documents(spark, texts, sources)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    plan = {r.doc_id: r for r in mixing.mix(docs, key=2, vocabulary=path, **target).collect()}
+    rows = mixing.ordered(docs, key=2, vocabulary=path, **target).collect()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert all(r.n_tokens == len(library.encode_ordinary(texts[r.doc_id])) for r in rows)
+    assert Counter(r.doc_id for r in rows) == {i: r.copies for i, r in plan.items() if r.copies}
+    assert len({(r.block, r.place) for r in rows}) == len(rows)
+    whole, held = sum(r.n_tokens for r in rows), defaultdict(Counter)
+    for r in rows:
+        held[r.block][r.source] += r.n_tokens
+    assert sorted(held) == list(range(8))
+    for block in held.values():
+        for s, n in block.items():
+            due = plan[sources.index(s)].weight * whole / 8
+            assert abs(n - due) < 0.25 * due + 100
+    for s in SIZES:
+        blocks = defaultdict(set)
+        for r in rows:
+            if r.source == s:
+                blocks[r.copy].add(r.block)
+        for copy in blocks:
+            assert copy + 1 not in blocks or max(blocks[copy]) <= min(blocks[copy + 1])
+    again = mixing.ordered(docs.repartition(5), key=2, vocabulary=path, **target).collect()
+    assert {(r.doc_id, r.copy, r.block, r.place) for r in again} == {(r.doc_id, r.copy, r.block, r.place) for r in rows}
+    first = [r.place for r in rows if r.copy == 1 and r.source == "c"]
+    assert first != sorted(first)
+
+
 def test_many_sources_take_the_other_ways(spark, monkeypatch):
     texts, sources = corpus(random.Random(5), {"a": 300, "b": 60, "c": 20})
     docs = documents(spark, texts, sources)
