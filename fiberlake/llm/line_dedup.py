@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, code_points, id_or_last, own_names, record_batches, row_key, table, texts
+from .common import checkpointed, code_points, own_names, record_batches, row_key, table, texts
 from .twice import MAX_FILTER_BITS, hashes_of_text, suspects
 
 
@@ -37,7 +37,8 @@ def _keys(text: bytes, min_chars: int) -> set[bytes]:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
-    """(id, drop): the digests of the keys that each document loses. Documents that lose none have no row."""
+    """(id, text_key, drop): the digests of the keys that each row of docs loses. Rows that lose none are absent. Keys are
+    confirmed by their text; the digests, of 128 bits, only name confirmed keys."""
 
     def key_hashes(batch: pa.RecordBatch) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(k) for text in texts(batch.column(0)) for k in _keys(text, min_chars)], np.uint64)
@@ -47,21 +48,21 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int =
     asked, may_repeat = suspected.rows, suspected.test
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("key", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("digest", pa.binary()), ("key", pa.binary())])
         for batch in batches:
-            ids, keys, owners = batch.column(0).to_pylist(), [], []
-            for owner, text in zip(ids, texts(batch.column(2)), strict=True):
+            keys, owners = [], []
+            for owner, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), texts(batch.column(2)), strict=True):
                 found = _keys(text, min_chars)
                 keys += found
                 owners += [owner] * len(found)
             if not keys:
                 continue
             hit = may_repeat(batch, np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)))
-            yield from record_batches(((owners[i], xxhash.xxh3_128_digest(keys[i]), keys[i]) for i in np.flatnonzero(hit)), schema)
+            yield from record_batches(((*owners[i], xxhash.xxh3_128_digest(keys[i]), keys[i]) for i in np.flatnonzero(hit)), schema)
 
-    found = checkpointed(asked.mapInArrow(repeats, "id long, digest binary, key binary"))
+    found = checkpointed(asked.mapInArrow(repeats, "id long, text_key long, digest binary, key binary"))
     confirmed = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.first("digest").alias("digest")).filter("first < last").select("digest", "first")
-    return found.select("id", "digest").join(confirmed, "digest").filter("id > first").groupBy("id").agg(F.collect_set("digest").alias("drop"))
+    return found.select("id", "text_key", "digest").join(confirmed, "digest").filter("id > first").groupBy("id", "text_key").agg(F.collect_set("digest").alias("drop"))
 
 
 @own_names
@@ -75,7 +76,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int = MAX
     Null or empty text is one empty line and gives an empty text. Rows that share a doc_id are one document; rows whose
     doc_id is null are together one document that ranks last. An empty table gives an empty table.
     """
-    drop = repeated_lines(docs, min_chars, max_filter_bits).withColumnsRenamed({"id": "__id", "drop": "__drop"})
+    drop = repeated_lines(docs, min_chars, max_filter_bits).withColumnsRenamed({"id": "__id", "text_key": "__text_key", "drop": "__drop"})
     if counts:
         docs = docs.drop("n_lines", "n_dropped")
     fields = [f for f in docs.schema.fields if f.name != "text"]
@@ -98,7 +99,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, max_filter_bits: int = MAX
             columns += [pa.array(lines_, pa.int64()), pa.array(dropped, pa.int64())] if counts else []
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.withColumn("__id", id_or_last()).join(drop, "__id", "left").mapInArrow(clean, schema)
+    return row_key(docs).join(drop, ["__id", "__text_key"], "left").mapInArrow(clean, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ urls that are judged.
 
 Sizes follow the list, not the corpus: the first level's error rate is the ratio of listed keys to corpus keys, so that
 about as many keys are in level 2 as are listed. A list too long for one broadcast is split by key hash into shards, each
-with a cascade of its own, and the shards are broadcast a group at a time.
+with a cascade of its own.
 """
 
 from __future__ import annotations
@@ -241,7 +241,9 @@ def candidate_keys(host: F.Column, path: F.Column, shapes: list[tuple[int, int]]
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
     """pages with host, path, rule and verdict (columns of these names are replaced).
 
-    rules: (verdict, host, path); the longest fitting one wins. Rules are the operator's own parameters; their keys may
+    rules: (verdict, host, path); the longest fitting one wins, by the characters of host and path together, and of two
+    equally long ones the later in the order of host and then path. A later rule for the same host and path replaces an
+    earlier one. A second cascade tells which listed keys allow. Rules are the operator's own parameters; their keys may
     be as many as the driver can hold. A url that no rule fits, one without `://` and a null url have a null rule and
     the default verdict. Rows are judged each by itself, so repeated rows stay; an empty table gives an empty table.
     """
@@ -257,10 +259,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     flagged = with_keys.withColumn("__listed", contains(spark, build(listed, universe), F.col("__keys")))
     held = F.transform(F.filter(F.arrays_zip(F.col("__keys").alias("k"), F.col("__listed").alias("l")), lambda x: x["l"]), lambda x: x["k"])
     best = F.array_max(F.transform(held, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
-    # the cascade names the key; its verdict is one bit of the key's own, kept beside the rules
-    allows = [k for k, v in by_key.items() if v == "allow"]
+    allowed = spark.createDataFrame([(k,) for k, v in by_key.items() if v == "allow"], "key string")
     chosen = flagged.withColumn("__best", best)
-    verdict = F.when(F.col("__best").isNull(), F.lit(default)).when(F.col("__best").isin(allows), F.lit("allow")).otherwise(F.lit("block"))
+    allows = contains(spark, build(allowed, listed), F.array(F.coalesce("__best", F.lit(""))))[0]
+    verdict = F.when(F.col("__best").isNull(), F.lit(default)).when(allows, F.lit("allow")).otherwise(F.lit("block"))
     return chosen.withColumns({"rule": F.replace(F.col("__best"), F.lit("\n"), F.lit("")), "verdict": verdict}).drop("__keys", "__listed", "__best")
 
 
