@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import runs
-from .common import checkpointed, few, own_names, partitions, record_batches, row_key, stored, table, texts
+from .common import few, own_names, partitions, record_batches, row_key, stored, table, texts
 from .seeds import classes_of, gathered
 from .twice import MAX_FILTER_BITS, hashes_of_text, suspects
 from .words import laid
@@ -174,7 +174,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, max_filter_
 
     met = stored(asked.mapInArrow(meet, "id long, key long, start int, seed long, digest binary, run binary, place int, windows int"))
     classes = classes_of(met, max_filter_bits)
-    common = checkpointed(classes.several.filter(F.col("classes") > GROUP).select("seed"))  # one in GROUP classes at most
+    common = classes.several.filter(F.col("classes") > GROUP).select("seed")  # one in GROUP classes at most
     large, rows = not common.isEmpty(), classes.rows
     common = few(common)
     small = rows.join(common, "seed", "left_anti").select(rows.columns) if large else rows

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import gram_hashes, runs
-from .common import checkpointed, few, own_names, record_batches, row_key, stored, table, texts
+from .common import few, own_names, record_batches, row_key, stored, table, texts
 from .seeds import classes_in_order, classes_of
 from .suffix_sort import Scratch, repeated
 from .twice import MAX_FILTER_BITS, hashes_of_text, suspects
@@ -215,7 +215,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes
 
     met = stored(asked.mapInArrow(meet, "id long, key long, start long, seed long, digest binary, run binary, place int, windows int"))
     classes = classes_of(met, max_filter_bits)
-    common = checkpointed(classes.several.filter(F.col("classes") > GROUP).select("seed"))  # one in GROUP classes at most
+    common = classes.several.filter(F.col("classes") > GROUP).select("seed")  # one in GROUP classes at most
     rows, large = classes.rows, None
     if not common.isEmpty():
         common = few(common)
