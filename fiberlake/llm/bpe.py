@@ -40,7 +40,7 @@ from .common import table, texts
 #: Distinct words that a Python worker keeps encoded; it starts anew when they are more.
 CACHE_WORDS = 150_000
 #: States that a reader keeps; it starts anew, between two words, when they are more.
-MOST_STATES = 150_000
+MOST_STATES = 100_000
 #: Documents whose ids are held at once.
 ROWS = 512
 NEVER = 1 << 30
@@ -222,6 +222,7 @@ class Tokenizer:
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for token, i in self.special.items():
             self.tokens[i] = token
+        self.end_id = self.special.get("<|endoftext|>")
         symbols = byte_symbols()
         self.first = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + suffix] for s in symbols]

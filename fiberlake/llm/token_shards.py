@@ -18,7 +18,6 @@ so nothing is sorted, and its memory is that of the range, whatever the corpus.
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 import uuid
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Tokenizer, default_path
+from .bpe import Shared, Tokenizer, default_path
 from .common import record_batches, shared_folder, small_batches, stored, table, texts
 
 #: Ends each record, as Spark's text writer ends each row.
@@ -123,30 +122,26 @@ class ByteBpe:
         return np.array(self.coder.encode_ordinary(text), self.dtype).tobytes()
 
 
-class WordBpe(Tokenizer):
-    """The tokenization automaton of bpe.py."""
-
-    def __init__(self, spec: str):
-        super().__init__(json.loads(spec))
-        self.end_id = self.special["<|endoftext|>"]
-
-
-_made: dict[str, ByteBpe | WordBpe] = {}
+_made: dict[str, ByteBpe] = {}
 
 
 class Vocabulary:
-    """A vocabulary file for executors: its text is broadcast (a few MB), each Python worker compiles it once."""
+    """A vocabulary file for executors: its text is broadcast (a few MB), each Python worker compiles it once. A JSON file
+    is the tokenization automaton of bpe.py, and compiled for it too; others are ranks."""
 
     def __init__(self, spark: SparkSession, path: str):
-        with open(path, encoding="utf-8") as file:
-            text = file.read()
-        self.kind = WordBpe if path.endswith(".json") else ByteBpe
-        self.key = hashlib.sha256(text.encode()).hexdigest()
-        self.text = spark.sparkContext.broadcast(text)
-
-    def get(self) -> ByteBpe | WordBpe:
+        self.words = Shared(spark, path) if path.endswith(".json") else None
+        if self.words is None:
+            with open(path, encoding="utf-8") as file:
+                text = file.read()
+            self.key = hashlib.sha256(text.encode()).hexdigest()
+            self.text = spark.sparkContext.broadcast(text)
+
+    def get(self) -> ByteBpe | Tokenizer:
+        if self.words is not None:
+            return self.words.get()
         if self.key not in _made:
-            _made[self.key] = self.kind(self.text.value)
+            _made[self.key] = ByteBpe(self.text.value)
         return _made[self.key]
 
 
