@@ -422,6 +422,15 @@ def test_density_clusters(spark):
     assert ml.silhouette_of_centres(found.filter("cluster >= 0")) > 0.9
 
 
+def test_kmeans_is_a_fixed_point(spark):
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(c, 1.0, (60, 3)) for c in (0, 4)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, features array<double>")
+    own = np.array([r.cluster for r in ml.kmeans(df, 2).orderBy("id").collect()])
+    centres = np.stack([x[own == c].mean(axis=0) for c in (0, 1)])
+    assert (np.argmin(((x[:, None] - centres) ** 2).sum(axis=2), axis=1) == own).all()
+
+
 def test_describe_and_missing_channels(spark):
     x = np.random.default_rng(13).random((50, 4))
     row = st.describe(image(spark, x).withColumn("value", F.when(F.col("t") > 0, F.col("value"))), "value").first()
