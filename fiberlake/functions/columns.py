@@ -28,7 +28,12 @@ def distance(x: Column, y: Column) -> Column:
 
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970 as double, of a timestamp of either kind."""
-    return F.unix_micros(ts.cast("timestamp")) / 1e6
+    return epoch_micros(ts) / 1e6
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970, of a timestamp of either kind."""
+    return F.unix_micros(ts.cast("timestamp"))
 
 
 def ratio(a: Column, b: Column) -> Column:
