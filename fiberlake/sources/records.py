@@ -37,10 +37,16 @@ def write_reports_by_hour(reports: DataFrame, path: str) -> None:
 def annotations_to_json(annotations: DataFrame) -> DataFrame:
     """(json): a row for each file, {"file", "timestamp", "channel_ids", "distances_m"}, lists in the order of channels.
 
-    A row a file instead of one document of all files, so that any number of files can be written and read.
+    A row a file instead of one document of all files, so that any number of files can be written and read. annotations:
+    (file, center_time, channel, distance_m), or a row for each file as annotate_files gives it, which is not shuffled.
     """
-    lists = F.array_sort(F.collect_list(F.struct("channel", "distance_m")))
-    rows = annotations.groupBy("file", "center_time").agg(lists.alias("l"))
+    if "distances_m" in annotations.columns:
+        n = F.size("distances_m")
+        # without positions build_annotations has no row
+        rows = annotations.filter(n > 0).withColumn("l", F.struct(F.sequence(F.lit(0), n - 1).alias("channel"), F.col("distances_m").alias("distance_m")))
+    else:
+        lists = F.array_sort(F.collect_list(F.struct("channel", "distance_m")))
+        rows = annotations.groupBy("file", "center_time").agg(lists.alias("l"))
     doc = F.struct("file", F.date_format("center_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.col("l.channel").alias("channel_ids"), F.col("l.distance_m").alias("distances_m"))
     return rows.select(F.to_json(doc).alias("json"))
 
