@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fiberlake.llm import suffix_dedup as sd
+from fiberlake.llm import twice
 
 from .helpers import documents
 
@@ -68,3 +69,30 @@ def test_odd_tables(spark):
     got = sorted(((r.doc_id, bytes(r.kept), r.n_removed) for r in sd.dedup_bytes(docs, window=40, gram=8).collect()), key=str)
     assert got == sorted([(3, b"", 50), (3, b"", 50), (None, b"x", 50), (4, b"other", 0), (None, b"", 0)], key=str)
     assert sd.dedup_bytes(docs.limit(0)).count() == 0
+
+
+def test_only_classes_that_may_share_a_string_are_sorted(spark):
+    """A short passage that all texts hold gives them one anchor, but no string of `window` bytes."""
+    rng = random.Random(8)
+    part = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, shared = part(30), part(30)
+    texts = [part(60) + passage + part(60) for _ in range(60)]
+    texts += [part(60) + shared + passage + part(60) for _ in range(3)] + [part(30) + passage + shared[:20]] * 2
+    runs = []
+    for t in texts[:63]:
+        at = t.index(passage)
+        run = t[at - 10 : at + 40].encode()
+        runs.append((run[:16], run, 10, 11, 1))
+    assert sd._meeting(runs, 40, 30) == {60, 61, 62}
+    got = sd.dedup_bytes(documents(spark, texts), window=40, gram=30).collect()
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, len(r.removed_spans), bytes(r.kept)) for r in got}
+    assert [rows[i] for i in range(len(texts))] == brute(texts, 40)
+
+
+def test_full_filter_serves_on(spark):
+    """A filter of the largest size is used down to 4 bits a hash; beyond that hashes are counted."""
+    rows = documents(spark, [f"text {i // 2}" for i in range(1000)])
+    hashes = lambda batch: sd.np.array([sd.xxhash.xxh3_64_intdigest(t.as_py()) for t in batch.column(0)], sd.np.uint64)
+    for expected, filtered in ((twice.MIN_FILTER_BITS // 8, True), (twice.MIN_FILTER_BITS // 4, True), (twice.MIN_FILTER_BITS // 2, False)):
+        found = twice.suspects(rows.select("doc_id", "text"), ["doc_id"], "text", hashes, F.lit(expected) / 1000, twice.MIN_FILTER_BITS)
+        assert (twice.SUSPECTS not in found.rows.columns) == filtered
