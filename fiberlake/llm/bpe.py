@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, texts
+from .common import KEPT, table, texts
 
 #: Distinct words that a Python worker keeps encoded; it starts anew when they are more.
 CACHE_WORDS = 150_000
@@ -290,6 +290,7 @@ class Tokenizer:
 
 
 _compiled: dict[str, Tokenizer] = {}
+KEPT.append(_compiled)
 
 
 class Shared:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, code_points, table, texts
+from .common import checkpointed, code_points, lean, table, texts
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -152,7 +152,7 @@ def feature_rows(docs: DataFrame, *keep: str) -> DataFrame:
             pattern = ["".join("-0+"[v + 1] for v in row) for row in votes]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(c) for c in rows.T), pa.array(pattern, pa.string())], names=schema.names)
 
-    return docs.select(*keep, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), schema)
 
 
 def fit_patterns(patterns: DataFrame) -> Model:
@@ -203,7 +203,7 @@ def filter_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             failed = (columns["n_words"] < 50) | (100 * columns["n_repeat_words"] > 50 * columns["n_words"])
             yield batch.filter(pa.array(~failed & (model.posterior(votes_of(columns)) >= threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as cp
 from fiberlake.llm import bpe, quality
-from fiberlake.llm.common import table
+from fiberlake.llm.common import lean, table
 
 from .test_line_dedup import brute as brute_lines
 
@@ -80,3 +80,8 @@ def test_encoding(stages):
 def test_run(spark, stages):
     got = sorted((r.doc_id, tuple(r.input_ids)) for r in cp.run(spark, SF).collect())
     assert got == sorted((r.doc_id, tuple(r.input_ids)) for r in stages["encoding"][1])
+
+
+def test_workers_do_not_keep_other_stages_vocabulary():
+    bpe._compiled["other"] = None
+    assert list(lean(iter)([1, 2])) == [1, 2] and "other" not in bpe._compiled
