@@ -2,15 +2,17 @@
 
 Texts with equal shingle sets are one class, its node a 64-bit hash of the set. Shingles are compared by 64-bit hashes.
 
-Candidates come from a prefix filter. All shingles have one order: a class of n shingles that reaches similarity s with
+Candidates come first from SimHash: fingerprints of the shingle sets that the pigeonring chains of op 7 link (simhash.links)
+are confirmed by the sets. Sets at `similarity` may differ in more bits, so an exact check follows for the classes that this
+leaves in several components, by a prefix filter. All shingles have one order: a class of n shingles that reaches similarity s with
 another shares s * n of them at least, so the smallest shared one is among its first n - ceil(s * n) + 1, and so it is in
 the other class. Classes meet by any of these. The order puts shingles of crowded counters last, so that a common passage
 is met only by classes that hold little else; any order gives the same pairs.
 
 Within a group, pairs are ruled out by their sizes and by parity bitmaps, which differ in no more bits than the sets do
 in shingles; neither rules out a link. What is left is confirmed by the shingle sets. That is done in two steps, so
-that a large group of copies does not make all its pairs: first a spanning forest of each group's candidates, then all
-candidates whose ends the confirmed links have not joined.
+that a large group of copies does not make all its pairs: first a spanning forest of each group's candidates over the
+components so far, then all candidates whose ends the confirmed links have not joined.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, partitions, power_of_two, record_batches, row_key, stored, texts
+from .common import checkpointed, lean, partitions, power_of_two, record_batches, row_key, stored, texts
 from .components import connected_components
 from .twice import MAX_FILTER_BITS, suspects
 
@@ -77,32 +79,39 @@ def _levels(docs: DataFrame, shingle: int, seed: int) -> np.ndarray:
                 sums[c] = sums.get(c, 0) + np.frombuffer(zlib.decompress(counts), "<u4").astype(np.int64)
         yield from record_batches(((c, s.astype("<i8").tobytes()) for c, s in sums.items()), pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]), 4)
 
-    parts = docs.select(F.col("text").cast("binary")).mapInArrow(fill, "chunk int, counts binary")
-    merged = parts.repartition(CHUNKS, "chunk").mapInArrow(merge, "chunk int, counts binary")
+    parts = docs.select(F.col("text").cast("binary")).mapInArrow(lean(fill), "chunk int, counts binary")
+    merged = parts.repartition(CHUNKS, "chunk").mapInArrow(lean(merge), "chunk int, counts binary")
     whole = np.zeros(COUNTERS, np.int64)
     for row in merged.collect():  # CHUNKS rows, 8 bytes a counter
         whole[row.chunk * span : (row.chunk + 1) * span] = np.frombuffer(row.counts, "<i8")
     return np.ceil(np.log2(np.maximum(1, whole / (CROWDED * (whole.mean() + 1))))).astype(np.uint8)
 
 
+def fingerprint_of(found: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes: a bit is 1 if over half of them have it."""
+    bits = np.unpackbits(found.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(found), bitorder="little").view("<i8")[0])
+
+
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     """A parity bitmap as one of fewer bytes."""
     return np.bitwise_xor.reduce(bits.reshape(-1, width), axis=0)
 
 
 def shingled(docs: DataFrame, similarity: Fraction, shingle: int, seed: int) -> DataFrame:
-    """(id, text_key, node, shape, wide, keys) of every row: its class, the class's size with a parity bitmap, the same with
-    about a bit a shingle, and its prefix."""
+    """(id, text_key, node, shape, wide, keys, fp) of every row: its class, the class's size with a parity bitmap, the same
+    with about a bit a shingle, its prefix and its fingerprint."""
     levels = docs.sparkSession.sparkContext.broadcast(_levels(docs, shingle, seed))
     p, q = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
-            nodes, shapes, wide, keys = [], [], [], []
+            nodes, shapes, wide, keys, fps = [], [], [], [], []
             for text in texts(batch.column(2)):
                 found = shingle_hashes(text, shingle, seed)
                 n = len(found)
+                fps.append(fingerprint_of(found))
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
                 width = min(WIDEST, max(BITMAP, power_of_two(n)))
                 odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % width, minlength=width) & 1
@@ -112,11 +121,11 @@ def shingled(docs: DataFrame, similarity: Fraction, shingle: int, seed: int) ->
                 order = np.argsort(level[(found & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
                 keys.append(found[order[: n + (-p * n // q) + 1]].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(shapes, pa.binary()), pa.array(wide, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "node", "shape", "wide", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(shapes, pa.binary()), pa.array(wide, pa.binary()), lists, pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "node", "shape", "wide", "keys", "fp"])
 
     rows = row_key(docs).select("__id", "__text_key", F.col("text").cast("binary"))
-    return rows.mapInArrow(run, "id long, text_key long, node long, shape binary, wide binary, keys array<long>")
+    return rows.mapInArrow(lean(run), "id long, text_key long, node long, shape binary, wide binary, keys array<long>, fp long")
 
 
 def classed(rows: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
@@ -136,9 +145,9 @@ def classed(rows: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> DataFram
             ends = np.cumsum([0, *batch.column(5).value_lengths().to_pylist()])
             offsets = np.concatenate([[0], np.cumsum(hit)])[ends]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[hit].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], lists], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], lists, batch.column(6)], names=names)
 
-    return checkpointed(asked.select(*names, *[c for c in asked.columns if c not in names]).mapInArrow(prune, rows.schema).dropDuplicates(["node"]))
+    return checkpointed(asked.select(*names, *[c for c in asked.columns if c not in names]).mapInArrow(lean(prune), rows.schema).dropDuplicates(["node"]))
 
 
 def _near(ids: np.ndarray, held: list[bytes], similarity: Fraction):
@@ -197,14 +206,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similarity:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     wide = classes.select("node", F.col("wide").alias("words"))
-    pairs = checkpointed(_beside(_beside(pairs, "u", wide, "x"), "v", wide, "y").select("u", "v", "x", "y").mapInArrow(possible, "u long, v long"))
+    pairs = checkpointed(_beside(_beside(pairs, "u", wide, "x"), "v", wide, "y").select("u", "v", "x", "y").mapInArrow(lean(possible), "u long, v long"))
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     need = classes.select("node", F.col("id").alias("__id"), F.col("text_key").alias("__text_key")).join(nodes, "node")
     # written first, so that its size is known and the texts are not shuffled for a small one
     need = stored(need)
     rows = row_key(docs.select("doc_id", "text")).join(need, ["__id", "__text_key"]).select("node", F.col("text").cast("binary"))
-    sets = checkpointed(rows.mapInArrow(packed, "node long, words binary").dropDuplicates(["node"]))
-    return _beside(_beside(pairs, "u", sets, "x"), "v", sets, "y").select("u", "v", "x", "y").mapInArrow(test, "u long, v long")
+    sets = checkpointed(rows.mapInArrow(lean(packed), "node long, words binary").dropDuplicates(["node"]))
+    return _beside(_beside(pairs, "u", sets, "x"), "v", sets, "y").select("u", "v", "x", "y").mapInArrow(lean(test), "u long, v long")
 
 
 def links(docs: DataFrame, classes: DataFrame, similarity: Fraction, shingle: int, seed: int) -> DataFrame:
@@ -214,14 +223,21 @@ def links(docs: DataFrame, classes: DataFrame, similarity: Fraction, shingle: in
     met = checkpointed(keyed.join(shared, "key"))
     shapes = classes.select("node", "shape")
 
+    def unpacked(held: list[bytes]) -> np.ndarray:
+        return np.array([int.from_bytes(h[:8], "big", signed=True) for h in held], np.int64)
+
     def spanning(key: int, ids: np.ndarray, held: list[bytes]) -> list[tuple[int, int]]:
+        """A forest of candidates over the components so far."""
         order = np.argsort(ids)
         ids, held = ids[order], [held[i] for i in order]
-        return simhash.forest(ids, _near(ids, held, similarity))
+        own, near = unpacked(held), _near(ids, [h[8:] for h in held], similarity)
+        component = dict(zip(ids.tolist(), own.tolist(), strict=True))
+        edges = simhash.forest(ids, lambda i, others: (own[others] == own[i]) | near(i, others))
+        return [(u, v) for u, v in edges if component[u] != component[v]]
 
     def apart(key: int, ids: np.ndarray, held: list[bytes]) -> list[tuple[int, int]]:
         """Candidates between components; the largest component's members need no turn of their own."""
-        own = np.array([int.from_bytes(h[:8], "big", signed=True) for h in held], np.int64)
+        own = unpacked(held)
         near = _near(ids, [h[8:] for h in held], similarity)
         found, counts = np.unique(own, return_counts=True)
         left, edges = np.ones(len(ids), bool), []
@@ -231,18 +247,20 @@ def links(docs: DataFrame, classes: DataFrame, similarity: Fraction, shingle: in
             edges += [(int(ids[i]), int(ids[j])) for j in others[near(i, others)]]
         return edges
 
-    def pairs(rows: DataFrame, shape: F.Column, edges_of) -> DataFrame:
-        # as simhash._dealt, with the shapes joined last
+    def sure(found: DataFrame) -> DataFrame:
+        return checkpointed(confirmed(checkpointed(found), docs, classes, similarity, shingle, seed))
+
+    def beyond(linked: DataFrame, edges_of) -> DataFrame:
+        """Links of groups in which the links so far leave several components; as simhash._dealt, with the shapes joined last."""
+        reach = connected_components(linked).withColumnRenamed("node", "reached")
+        own = met.join(reach, met.node == reach.reached, "left").select("key", "node", "blocks", F.coalesce("component", "node").alias("own"))
+        mixed = own.groupBy("key").agg(F.min("own").alias("least"), F.max("own").alias("most")).filter("least < most").select("key")
         mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(shapes, "node")
-        dealt = dealt.select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), shape.alias("fp"), F.col("node").alias("id"))
+        dealt = own.join(mixed, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(shapes, "node")
+        packed = F.concat(F.unhex(F.lpad(F.hex("own"), 16, "0")), F.col("shape"))
+        dealt = dealt.select("key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), packed.alias("fp"), F.col("node").alias("id"))
         dealt = dealt.repartition(partitions(docs.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b")
-        found = checkpointed(simhash._forests(dealt, edges_of))
-        return checkpointed(confirmed(found, docs, classes, similarity, shingle, seed))
-
-    sure = pairs(met, F.col("shape"), spanning)
-    reach = connected_components(sure).withColumnRenamed("node", "reached")
-    own = met.join(reach, met.node == reach.reached, "left").select("key", "node", "blocks", F.coalesce("component", "node").alias("own"))
-    mixed = own.groupBy("key").agg(F.min("own").alias("least"), F.max("own").alias("most")).filter("least < most").select("key")
-    packed = F.concat(F.unhex(F.lpad(F.hex("own"), 16, "0")), F.col("shape"))
-    return sure.unionByName(pairs(own.join(mixed, "key"), packed, apart))
+        return linked.unionByName(sure(simhash._forests(dealt, edges_of)))
+
+    linked = sure(simhash.links(classes.select(F.col("node").alias("id"), "fp")))
+    return beyond(beyond(linked, spanning), apart)

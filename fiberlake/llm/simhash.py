@@ -7,7 +7,8 @@ the first segment, 1 in two, 2 in three and 3 in all. Classes meet by the exact
 second, which holds for a difference of one bit at most; the longer chains are then tested before the Hamming check.
 
 Three bits are far from all near copies: at a Jaccard similarity of 0.8 about a seventh of all bits differ, and no number
-of bits is a sharp limit. `dedup` therefore links by the shingles themselves (near_copies). `wide_links` joins wide
+of bits is a sharp limit. `dedup` therefore confirms what these links join by the shingles themselves, and an exact check
+finds the near copies further apart (near_copies). `wide_links` joins wide
 fingerprints that share a segment; it misses some pairs near its limit, and `dedup` does not use it.
 
 Within a group, classes are linked by a spanning forest, never by all pairs; groups over BLOCK classes are dealt out as
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_or_last, null_if_last, own_names, partitions, record_batches, row_key, table, texts
+from .common import checkpointed, id_or_last, lean, null_if_last, own_names, partitions, record_batches, row_key, small_batches, table, texts
 from .components import connected_components
 
 #: Classes that a task compares at once.
@@ -161,7 +162,7 @@ def _forests(dealt: DataFrame, edges_of) -> DataFrame:
             yield from record_batches(found, schema, 65536)
         yield from record_batches(close(), schema, 65536)
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def links(classes: DataFrame) -> DataFrame:
@@ -244,10 +245,11 @@ def dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int
     from . import near_copies
 
     least = Fraction(str(similarity))
-    rows = checkpointed(near_copies.shingled(docs, least, shingle, seed))
-    classes = near_copies.classed(rows)
-    firsts = rows.groupBy("node").agg(F.min("id").alias("id"))
-    labelled = _lowest(firsts, connected_components(near_copies.links(docs, classes, least, shingle, seed)), "node")
+    with small_batches(docs.sparkSession):
+        rows = checkpointed(near_copies.shingled(docs, least, shingle, seed))
+        classes = near_copies.classed(rows)
+        firsts = rows.groupBy("node").agg(F.min("id").alias("id"))
+        labelled = _lowest(firsts, connected_components(near_copies.links(docs, classes, least, shingle, seed)), "node")
     gone = rows.select("id", "text_key", "node").join(labelled, "node").filter("component < id")
     gone = gone.select(F.col("id").alias("__id"), F.col("text_key").alias("__text_key")).distinct()
     return row_key(docs).join(gone, ["__id", "__text_key"], "left_anti").select(*docs.columns)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,23 @@ def test_null_ids_do_not_join_components(spark):
     docs = documents(spark, [texts[0], texts[1], beside(texts[0]), beside(texts[1])], ids=[5, 9, None, None])
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == [(5, 5), (9, 9), (None, 5), (None, 9)]
+
+
+def test_fingerprints_link_before_the_exact_check(spark, monkeypatch):
+    """Copies within three bits of a fingerprint are linked by SimHash alone, and only if their shingles are alike."""
+    rng = random.Random(9)
+    bits = lambda t: near_copies.fingerprint_of(near_copies.shingle_hashes(t.encode(), 5, 42))
+    base = [f"w{rng.randrange(4000)}" for _ in range(900)]
+    texts = [" ".join(base)]
+    while len(texts) < 4:
+        copy = list(base)
+        copy[rng.randrange(900)] = f"z{len(texts)}"
+        if ((bits(texts[0]) ^ bits(" ".join(copy))) & (1 << 64) - 1).bit_count() <= 3:
+            texts.append(" ".join(copy))
+    texts += ["alone and short", " ".join(f"v{rng.randrange(4000)}" for _ in range(300))]
+    # the exact check finds nothing
+    monkeypatch.setattr(near_copies, "_near", lambda ids, held, similarity: lambda i, others: np.zeros(len(others), bool))
+    assert [i for i, _ in kept(documents(spark, texts))] == [0, 4, 5]
+    # fingerprints alone do not link
+    monkeypatch.setattr(near_copies, "fingerprint_of", lambda found: 0)
+    assert [i for i, _ in kept(documents(spark, [texts[0], *texts[4:]]))] == [0, 1, 2]
