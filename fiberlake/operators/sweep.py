@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from ..schema import METERS_PER_DEGREE_LAT
+from ..schema import METERS_PER_DEGREE_LAT, NO_SHIP_SENTINEL_M
 
 #: Distances are rounded to 0.1 m; bounds have this much to spare for it.
 HALF_STEP_M = 0.05 + 1e-3
@@ -76,6 +76,32 @@ class Sweep:
         x, y = self.cable.lon[pos] - self.lon[ship, None], (self.cable.lat[pos] - self.lat[ship, None]) * METERS_PER_DEGREE_LAT
         return x * x, y * y
 
+    def nearest(self) -> np.ndarray:
+        """The least distance of any position to any ship, for each file, to 0.1 m; NO_SHIP_SENTINEL_M without ships."""
+        held, bound = [], np.full(self.n, np.inf)
+        step = max(1, PAIRS // len(self.blocks[0]))
+        for start in range(0, len(self.lat), step):
+            near, far = self._boxes(start, start + step, slice(None))
+            ship, block = np.nonzero(near <= far.min(axis=1, keepdims=True))  # those that may hold a ship's nearest position
+            ship += start
+            x, y = self._measured(ship, block)
+            at = np.flatnonzero(np.diff(ship, prepend=-1))
+            low, high = self.low * x + y, self.high * x + y
+            least, most = (np.minimum.reduceat(d.min(axis=1), at) for d in (low, high))
+            for i, d in zip(ship[at], most, strict=True):
+                part = bound[self.first[i] : self.end[i]]
+                np.minimum(part, d, out=part)
+            row, place = np.nonzero(low <= np.repeat(most * SLACK, np.diff(at, append=len(ship)))[:, None])
+            held.append((ship[at], least, ship[row], x[row, place], y[row, place]))
+        best = np.full(self.n, np.inf)
+        for ships, least, owner, x, y in held:
+            edges = np.searchsorted(owner, ships), np.searchsorted(owner, ships, side="right")
+            for i, d, a, b in zip(ships, least, *edges, strict=True):
+                at = self.first[i] + np.flatnonzero(bound[self.first[i] : self.end[i]] * SLACK >= d)
+                if len(at):
+                    best[at] = np.minimum(best[at], (self.s[at, None] * x[a:b] + y[a:b]).min(axis=1))
+        return np.where(self.ships > 0, np.rint(np.sqrt(best) * 10) / 10, NO_SHIP_SENTINEL_M)
+
     def reached(self, reach: float) -> np.ndarray:
         """The blocks that a ship may be within `reach` of, rounded distances included."""
         every = np.arange(len(self.blocks[0]))
